@@ -1,8 +1,9 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from lucidgraph.llm import exact_dedup
+from lucidgraph.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
