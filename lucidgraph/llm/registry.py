@@ -1,10 +1,11 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from lucidgraph.llm import bpe, exact_dedup, html_text, language_id, url_filter
+from lucidgraph.llm import bpe, exact_dedup, html_text, language_id, packing, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op10_url_filter": url_filter.op10_url_filter,
