@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 MAX_FILTER_BITS = 1 << 28
 #: Bits in one piece of a filter; fixed by Spark's bitmap functions.
 PIECE_BITS = 32768
-#: A key is hot when it holds more than one row in HOT_PARTS; so there are fewer than HOT_PARTS hot keys.
-HOT_PARTS = 1024
+#: Hot keys number fewer than MAX_HOT: a key is hot when it holds more than one row in FEW, or, of many rows,
+#: more than HOT_ROWS, or, of very many, more than one row in MAX_HOT.
+FEW, HOT_ROWS, MAX_HOT = 1024, 2000, 65536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,13 +78,18 @@ def bits_at(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
+def hot_limit(n_rows: int) -> int:
+    """Rows of a key above which it is hot; fewer than MAX_HOT keys can be."""
+    return max(1, n_rows // MAX_HOT, min(n_rows // FEW, HOT_ROWS))
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, *, how: str = "inner") -> DataFrame:
     """rows joined to groups (one row a key) without a hot shuffle partition.
 
-    Keys with more than n_rows / HOT_PARTS rows number fewer than HOT_PARTS, so these groups are broadcast;
-    each other key holds too few rows to matter and is joined by a shuffle. groups must be a written table.
+    Keys with more than hot_limit(n_rows) rows number fewer than MAX_HOT, so these groups are broadcast; each
+    other key holds too few rows to matter and is joined by a shuffle. groups must be a written table.
     """
-    limit = max(1, n_rows // HOT_PARTS)
+    limit = hot_limit(n_rows)
     hot = groups.filter(F.col(size) > limit)
     extra = [c for c in groups.columns if c != key]
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")

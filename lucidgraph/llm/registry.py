@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from lucidgraph.llm import bpe, exact_dedup, html_text, language_id, packing, url_filter
+from lucidgraph.llm import bpe, exact_dedup, html_text, language_id, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
