@@ -1,10 +1,11 @@
 """Queries of the corpus operators and, where SQL can express them, their SQL."""
 
-from lucidgraph.llm import bpe, exact_dedup, html_text, language_id, packing, substring_dedup, url_filter
+from lucidgraph.llm import bpe, embedding_dedup, exact_dedup, html_text, language_id, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embedding_dedup": embedding_dedup.OP3_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
