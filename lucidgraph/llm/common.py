@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,22 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_row
     first = marked.filter("_hot").drop("_hot")
     rest = marked.filter("_hot is null").drop("_hot", *extra)
     return first.unionByName(rest.join(groups.filter(F.col(size) <= limit).hint("merge"), key, how))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, as frames that hold whole groups only."""
+    waiting: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = b[key].iloc[-1]
+        if waiting and waiting[0][key].iloc[0] == last:
+            waiting.append(b)
+            continue
+        whole = (b[key] != last).to_numpy()
+        ready = pd.concat([*waiting, b[whole]], ignore_index=True)
+        if len(ready):
+            yield ready
+        waiting = [b[~whole]]
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
