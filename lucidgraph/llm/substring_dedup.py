@@ -204,17 +204,15 @@ def kept_words(words: list[bytes], ranges) -> list[bytes]:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """docs with what is left of each text. Texts without a removed word are untouched, the words of others are
     joined by one space; documents of which nothing is left are dropped."""
-    columns = docs.columns
     marked = marked_documents(docs, id_col, text_col, k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            left = [b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(b[text_col], b.pop("_ranges"), strict=True)]
-            b[text_col] = left
-            yield b[b[text_col] != ""]
+            ranges = b.pop("_ranges")
+            b[text_col] = [t if r is None else b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(b[text_col], ranges, strict=True)]
+            yield b[ranges.isna() | (b[text_col] != "")]
 
-    touched = marked.filter("_ranges is not null").mapInPandas(run, docs.schema)
-    return marked.filter("_ranges is null").select(*columns).unionByName(touched)
+    return marked.mapInPandas(run, docs.schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
