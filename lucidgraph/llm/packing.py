@@ -13,7 +13,10 @@ an empty table gives an empty table. Columns of the documents other than id and
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,40 +30,57 @@ LENGTH, END_ID = 4096, 1
 #: Pieces in a block, bins of a block that are packed again, and search nodes for a block.
 BLOCK, SPARE, NODES = 20_000, 8, 20_000
 #: Words kept with their ids in each Python worker, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+CACHE_WORDS, CACHE_BYTES = 800_000, 48
+
+
+#: What a definition must say for words of plain characters to be split here instead of by the library.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Characters that are their own NFC, whose lower case is one of them, and the split of these characters.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: The printable character of each byte in byte-level vocabularies: itself, or the next free one from 256 on.
+_ITSELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: b for b in _ITSELF} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_ITSELF))}
 
 
 class WordTokenizer:
     """Encodes by the tokenizers library; remembers the ids of words between ASCII white space.
 
     For vocabularies that drop white space and let no token cross it: there a text's ids are those of its words.
+    Words of plain characters go straight to the library's merges, where the definition splits as we do.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.one = Tokenizer.from_str(definition)
-        self.one.encode_special_tokens = True
-        self.many = Tokenizer.from_str(definition)
-        special = [(i, t.content) for i, t in self.many.get_added_tokens_decoder().items() if t.special]
-        self.mark_id, self.mark = special[-1]
-        self.opening = self.mark[:2].encode()
+        self.whole = Tokenizer.from_str(definition)
+        self.whole.encode_special_tokens = True
+        said = json.loads(definition)
+        self.direct = said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        self.merge = self.whole.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+            ids = array("I", [t.id for t in self.merge(shown)]).tobytes()
+            if len(piece) <= CACHE_BYTES:
+                self.pieces[piece] = ids
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self.opening not in w]
-        if plain:
-            # one text of words between marks, which no word can hold
-            text = f" {self.mark} ".join(w.decode() for w in plain)
-            ids = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            start = 0
-            for w, end in zip(plain, ends.tolist(), strict=True):
-                self.known[w] = ids[start:end].tobytes()
-                start = end + 1
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
         for w in words:
-            if self.opening in w:
-                self.known[w] = np.array(self.one.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            text = w.decode()
+            if self.direct and _PLAIN(text):
+                self.known[w] = b"".join(map(self._piece, _PIECES(text.lower())))
+            else:
+                self.known[w] = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
