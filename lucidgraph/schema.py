@@ -19,7 +19,7 @@ DEFINITION = (
 )
 FUNCTION_COLLECTION = "collection_id STRING, file_path STRING, scope_id STRING, collection_type STRING, member_ord INT, member_key STRING, stored_function_id STRING, stored_reference STRING"
 IMPORT_DEF = (
-    f"symbol_id STRING, name STRING, file_path STRING, ord BIGINT, defining_scope_id STRING, import_path STRING, import_kind STRING, original_name STRING, is_reexport BOOLEAN, {_SPAN}"
+    f"symbol_id STRING, name STRING, file_path STRING, ord BIGINT, defining_scope_id STRING, import_path STRING, import_kind STRING, original_name STRING, is_reexport BOOLEAN, {_SPAN}, candidates ARRAY<STRING>, sub_candidates ARRAY<STRING>"
 )
 REFERENCE = (
     f"file_path STRING, ord BIGINT, kind STRING, name STRING, scope_id STRING, {_SPAN}, keyword STRING, property_chain ARRAY<STRING>, access_type STRING, target_symbol_id STRING"
