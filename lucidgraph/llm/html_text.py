@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block of the page. A line weighs as
 links, or nothing where the markup says that it is no article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments; all that lies outside <article> or <main> where the page has one). The weights of WINDOW
 lines from each line on are summed; a surge point is where the sum rises to the threshold, a dive point where it
-falls to nothing. Of the stretches between them the heaviest is kept, with all its weighty and short lines.
+falls to nothing. Of the stretches between them the heaviest is kept, from its first to its last line of any weight.
 
 Defined cases: null html is empty text; malformed markup is read as far as it goes; a page without any line of
 article text gives an empty string.
@@ -146,7 +146,8 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             i += 1
         if (weight := sum(weights[start:i])) > heaviest:
             best, heaviest = (start, i), weight
-    return " ".join(lines[i][0] for i in range(*best) if keep[i])
+    weighty = [i for i in range(*best) if weights[i]]
+    return " ".join(lines[i][0] for i in range(weighty[0], weighty[-1] + 1) if keep[i]) if weighty else ""
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -270,12 +270,13 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK, siz
             for i, s in enumerate(sizes.tolist()):
                 waiting.setdefault(s, []).append(i)
             bins = sorted(pack_sizes(sizes.tolist(), length), key=sum)
+            opened = min(spare, len(bins) // 2)  # so that each round has fewer bins
             sequence, offset, again = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), np.zeros(len(rows), bool)
             for k, content in enumerate(bins):
                 at = 0
                 for s in content:
                     i = waiting[s].pop()
-                    sequence[i], offset[i], again[i] = round_ << 56 | int(key[0]) << 24 | k, at, k < spare
+                    sequence[i], offset[i], again[i] = round_ << 56 | int(key[0]) << 24 | k, at, k < opened
                     at += s
             return rows.assign(sequence_id=sequence, offset=offset, _again=again)
 
