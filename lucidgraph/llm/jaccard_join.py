@@ -36,7 +36,7 @@ N, SIMILAR = 3, (90, 100)
 #: Frequent n-grams are those in more than one of FREQUENT n-gram occurrences; so there are fewer than FREQUENT.
 FREQUENT = 1_000_000
 #: Documents in a leaf and nodes in a node of a tree; bits of a token bitmap at least and at most.
-LEAF, FANOUT, BITS = 16, 8, (64, 4096)
+LEAF, FANOUT, BITS = 16, 8, (64, 65536)
 #: Documents and n-grams of a group that one task holds in a chunk.
 CHUNK_DOCS, CHUNK_GRAMS = 800, 1_500_000
 
@@ -222,6 +222,20 @@ def _sketches(docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
     return docs.mapInPandas(sketch, f"id {kind}, n long, digest binary, bitmap binary, prefix array<long>")
 
 
+def _join_block(own: list[int], others: list[int] | None, width: int, sizes, bitmaps, widths, similar, place, joined: Joined) -> None:
+    """Joins the places of documents that may be similar: own with own, or own with others."""
+    docs = own if others is None else own + others
+    if len(docs) < 2:
+        return
+    tree = SignatureTree([sizes[i] for i in docs], [folded(bitmaps[i], widths[i], width) for i in docs], similar)
+    for i, j in tree.pairs():
+        if others is not None and (i < len(own)) == (j < len(own)):
+            continue
+        x, y = place[docs[i]], place[docs[j]]
+        if joined.find(x) != joined.find(y) and tree.may_link(i, j):
+            joined.join(x, y)
+
+
 def _candidate_edges(reps: DataFrame, similar: tuple[int, int], kind: str) -> DataFrame:
     """Edges a, b that join all documents which may be similar."""
     spark = reps.sparkSession
@@ -252,13 +266,15 @@ def _candidate_edges(reps: DataFrame, similar: tuple[int, int], kind: str) -> Da
             bitmaps = [int.from_bytes(x, "little") for x in b["bitmap"]]
             widths = [8 * len(x) for x in b["bitmap"]]
             for start, end in _bounds(b["token"].to_numpy()):
-                if end - start > 1:
-                    width = min(widths[start:end])
-                    tree = SignatureTree(sizes[start:end], [folded(bitmaps[i], widths[i], width) for i in range(start, end)], similar)
-                    for i, j in tree.pairs():
-                        i, j = i + start, j + start
-                        if joined.find(place[i]) != joined.find(place[j]) and tree.may_link(i - start, j - start):
-                            joined.join(place[i], place[j])
+                by_width: dict[int, list[int]] = {}
+                for i in range(start, end):
+                    by_width.setdefault(widths[i], []).append(i)
+                # Similar sizes have widths that are equal or near, and a pair is compared at the smaller.
+                for w, own in by_width.items():
+                    _join_block(own, None, w, sizes, bitmaps, widths, similar, place, joined)
+                    for other in by_width:
+                        if w < other <= 2 * w * similar[1] / similar[0]:
+                            _join_block(own, by_width[other], w, sizes, bitmaps, widths, similar, place, joined)
             roots = np.array([joined.find(i) for i in range(len(ids))], dtype=np.int64)
             moved = roots != np.arange(len(ids))
             yield pd.DataFrame({"a": ids[moved], "b": ids[roots[moved]]})
