@@ -239,15 +239,19 @@ def _join_block(own: list[int], others: list[int] | None, width: int, sizes, bit
 def _candidate_edges(reps: DataFrame, similar: tuple[int, int], kind: str) -> DataFrame:
     """Edges a, b that join all documents which may be similar."""
     spark = reps.sparkSession
+    num, den = similar
     mark = F.bit_xor(F.xxhash64("id", F.lit(5))).alias("mark")
-    tokens = reps.select("id", F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("docs"), mark, F.min("id").alias("hub"))
-    tokens = staged(tokens.filter("docs > 1"), "tokens")
+    tokens = reps.select("id", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    blocks = tokens.groupBy("token").agg(F.count("*").alias("docs"), mark, F.min("n").alias("low"), F.max("n").alias("high"))
+    # Two documents of sizes too different can't be similar; such blocks, mere coincidences, would be most of all.
+    blocks = staged(blocks.filter("docs > 1").filter((F.col("docs") > 2) | (F.col("low") * F.lit(den).cast("long") >= F.col("high") * F.lit(num).cast("long"))), "tokens")
     # Of n-grams that the same documents share one is enough.
-    blocks = staged(tokens.groupBy("docs", "mark", "hub").agg(F.min("token").alias("token")), "blocks")
+    blocks = staged(blocks.groupBy("docs", "mark").agg(F.min("token").alias("token")), "blocks")
     n, kinds = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count("*")).first()
     bits = filter_bits(kinds)
-    big = blocks.filter(F.col("docs") > hot_limit(n)).select("token", "hub").toArrow().to_pandas()  # fewer than MAX_HOT
-    shared = spark.sparkContext.broadcast((collected_bits(blocks.select(bit_cell(F.col("token"), bits, 3).alias("cell")), bits), dict(zip(big["token"], big["hub"], strict=True))))
+    big = blocks.filter(F.col("docs") > hot_limit(n)).select("token")  # fewer than MAX_HOT
+    hubs_of = {r[0]: r[1] for r in tokens.join(F.broadcast(big), "token").groupBy("token").agg(F.min("id")).collect()} if big.limit(1).count() else {}
+    shared = spark.sparkContext.broadcast((collected_bits(blocks.select(bit_cell(F.col("token"), bits, 3).alias("cell")), bits), hubs_of))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filter_, hubs = shared.value
@@ -281,11 +285,11 @@ def _candidate_edges(reps: DataFrame, similar: tuple[int, int], kind: str) -> Da
 
     cells = F.transform("prefix", lambda t: bit_cell(t, bits, 3)).alias("cells")
     dealt = reps.select("id", "n", "bitmap", "prefix", cells).mapInPandas(deal, f"token long, id {kind}, n long, bitmap binary, hub {kind}")
-    if len(big):
+    if hubs_of:
         dealt = staged(dealt, "dealt")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = dealt.filter("bitmap is not null").drop("hub").repartition(max(parts, -(-n // 100_000)), "token").sortWithinPartitions("token").mapInPandas(block, f"a {kind}, b {kind}")
-    if len(big):
+    if hubs_of:
         found = found.unionByName(dealt.filter("hub is not null and id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
     return found
 
