@@ -4,9 +4,11 @@ A window is K consecutive words. Its minimiser is the smallest hash of the M-wor
 that share one form a super-k-mer. Windows with equal words have the same minimiser, so a window can only repeat
 where its minimiser does: a first pass counts minimisers, and super-k-mers of those seen once stay at home. The
 others travel, each as one string of words, to the bucket of their minimiser, where their windows are sorted and
-the smallest doc_id of each is found. Minimisers that very many super-k-mers share are cut into single windows, whose
-smallest doc_id is found by partial aggregation before the shuffle. A window that also starts in a document with a
-smaller doc_id marks its words; marked words are removed when all windows have been judged.
+the smallest doc_id of each is found. Super-k-mers of minimisers that very many share are cut into single windows,
+which are counted where they are and summed by key. Of windows that are very frequent themselves the smallest
+doc_id is known by then, so they are judged at home; the others travel one by one, each to the bucket of its own
+hash. A window that also starts in a document with a smaller doc_id marks its words; marked words are removed
+when all windows have been judged.
 
 Defined cases: a null text has no words. A document with a null doc_id is kept whole and removes nothing. Rows that
 repeat a doc_id don't remove each other's words. A text of fewer than K words is kept whole.
@@ -23,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import attach_groups, bits_at, collected_bits, filter_bits, hot_limit, staged, table
+from lucidgraph.llm.common import bits_at, collected_bits, filter_bits, hot_limit, staged, table, whole_groups
 
 #: Words in a window and in the pieces whose smallest hash is its minimiser.
 K, M = 13, 5
 #: Words kept with their hashes in each Python worker; super-k-mers in a bucket.
 CACHE_WORDS, BUCKET = 400_000, 60_000
+#: Documents, and windows of hot minimisers, that a worker holds at once.
+DOCS_AT_ONCE, WINDOWS_AT_ONCE = 1000, 200_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -98,7 +102,12 @@ def _ranges(starts: list[int], width: int) -> list[tuple[int, int]]:
 
 
 def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """rows: whole minimiser groups of _id, _key, at, packed. Ranges of words that a smaller id has too."""
+    """rows: whole minimiser groups of _id, _key, at, packed. Ranges of words that a smaller id has too.
+
+    Rows with an end are ranges already.
+    """
+    ready = rows[rows["end"] >= 0]
+    rows = rows[rows["end"] < 0]
     ids = rows["_id"].tolist()
     windows: list[bytes] = []
     owner: list[int] = []
@@ -125,7 +134,8 @@ def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
         i = j
     out = [(r, *span) for r, starts in marked.items() for span in _ranges(sorted(starts), k)]
     at = [r for r, _, _ in out]
-    return pd.DataFrame({"_id": rows["_id"].iloc[at].to_numpy(), "_key": rows["_key"].iloc[at].to_numpy(), "first": [a for _, a, _ in out], "end": [e for _, _, e in out]})
+    found = pd.DataFrame({"_id": rows["_id"].iloc[at].to_numpy(), "_key": rows["_key"].iloc[at].to_numpy(), "first": np.array([a for _, a, _ in out], np.int64), "end": np.array([e for _, _, e in out], np.int64)})
+    return pd.concat([found, ready[["_id", "_key", "at", "end"]].rename(columns={"at": "first"})], ignore_index=True) if len(ready) else found
 
 
 def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
@@ -141,49 +151,70 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
     hot = [r[0] for r in repeated.filter(F.col("n") > hot_limit(n)).select("mini").collect()]  # fewer than MAX_HOT
     shared_hot = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
 
-    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, heavy = shared.value, shared_hot.value
+    def count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Windows of hot minimisers: how many, and the smallest id, of those read together."""
+        heavy, seen = shared_hot.value, {}
         for b in batches:
-            rows = []
-            for doc, key, text in zip(b["_id"], b["_key"], b["_text"], strict=True):
+            for doc, text in zip(b["_id"], b["_text"], strict=True):
                 words = _words(text)
-                minis, first, size = super_kmers(words)
-                goes = bits_at(seen, (minis & np.uint64(bits - 1)).astype(np.int64)) if len(minis) else minis.astype(bool)
-                minis = minis.view(np.int64)
-                single = np.isin(minis, heavy)
-                for mini, at, w, alone in zip(minis[goes].tolist(), first[goes].tolist(), size[goes].tolist(), single[goes].tolist(), strict=True):
-                    if alone:
-                        rows += [(doc, key, mini, i, None, xxhash.xxh3_128_digest(b" ".join(words[i : i + k]))) for i in range(at, at + w)]
-                    else:
-                        rows.append((doc, key, mini, at, b" ".join(words[at : at + w + k - 1]), None))
-            yield pd.DataFrame(rows, columns=["_id", "_key", "mini", "at", "packed", "window"]).astype({"_id": b["_id"].dtype, "_key": np.int64, "mini": np.int64, "at": np.int64})
-
-    moved = usable.mapInPandas(travel, f"_id {kind}, _key long, mini long, at long, packed binary, window binary")
+                minis, first, size = super_kmers(words, k)
+                for at, w in zip(*(x[np.isin(minis.view(np.int64), heavy)].tolist() for x in (first, size)), strict=True):
+                    for i in range(at, at + w):
+                        window = xxhash.xxh3_128_digest(b" ".join(words[i : i + k]))
+                        had = seen.get(window)
+                        seen[window] = (1, doc) if had is None else (had[0] + 1, min(had[1], doc))
+                if len(seen) > WINDOWS_AT_ONCE:
+                    yield window_rows(seen, b)
+                    seen.clear()
+        if seen:
+            yield window_rows(seen, b)
+
+    def window_rows(seen: dict, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"window": list(seen), "n": [c for c, _ in seen.values()], "least": pd.Series([i for _, i in seen.values()], dtype=b["_id"].dtype)})
+
+    judged = {}
     if hot:
-        moved = staged(moved, "super-k-mers")
+        windows = usable.select("_id", "_text").mapInPandas(count_windows, f"window binary, n long, least {kind}")
+        windows = staged(windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")), "windows")
+        limit = hot_limit(windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        judged = {bytes(r[0]): r[1] for r in windows.filter(F.col("n") > limit).select("window", "least").collect()}  # fewer than MAX_HOT
+    shared_judged = spark.sparkContext.broadcast(judged)
+
+    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, heavy, least = shared.value, shared_hot.value, shared_judged.value
+        for whole in batches:
+            for cut in range(0, len(whole), DOCS_AT_ONCE):
+                b = whole.iloc[cut : cut + DOCS_AT_ONCE]
+                rows = []
+                for doc, key, text in zip(b["_id"], b["_key"], b["_text"], strict=True):
+                    words = _words(text)
+                    minis, first, size = super_kmers(words, k)
+                    goes = bits_at(seen, (minis & np.uint64(bits - 1)).astype(np.int64)) if len(minis) else minis.astype(bool)
+                    minis = minis.view(np.int64)
+                    single = np.isin(minis, heavy)
+                    marked = []
+                    for mini, at, w, alone in zip(minis[goes].tolist(), first[goes].tolist(), size[goes].tolist(), single[goes].tolist(), strict=True):
+                        if not alone:
+                            rows.append((doc, key, mini, at, b" ".join(words[at : at + w + k - 1]), -1))
+                            continue
+                        for i in range(at, at + w):
+                            window = b" ".join(words[i : i + k])
+                            digest = xxhash.xxh3_128_digest(window)
+                            if digest not in least:
+                                rows.append((doc, key, int.from_bytes(digest[:8], "little", signed=True), i, window, -1))
+                            elif least[digest] < doc:
+                                marked.append(i)
+                    rows += [(doc, key, key, start, None, end) for start, end in _ranges(marked, k)]
+                yield pd.DataFrame(rows, columns=["_id", "_key", "mini", "at", "packed", "end"]).astype({"_id": b["_id"].dtype, "_key": np.int64, "mini": np.int64, "at": np.int64, "end": np.int64})
+
+    moved = usable.mapInPandas(travel, f"_id {kind}, _key long, mini long, at long, packed binary, end long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-        for b in batches:  # sorted by mini; a group may go on in the next batch
-            last = b["mini"].iloc[-1]
-            whole = b["mini"] != last
-            if waiting and waiting[0]["mini"].iloc[0] == last:
-                waiting.append(b)
-                continue
-            yield _judge(pd.concat([*waiting, b[whole]]), k)
-            waiting = [b[~whole]]
-        if waiting:
-            yield _judge(pd.concat(waiting), k)
-
-    schema = f"_id {kind}, _key long, first long, end long"
-    out = moved.filter("packed is not null").drop("window").repartition(buckets, "mini").sortWithinPartitions("mini").mapInPandas(bucket, schema)
-    if hot:
-        alone = moved.filter("window is not null").select("_id", "_key", "at", "window")
-        least = staged(alone.groupBy("window").agg(F.min("_id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "windows")
-        found = attach_groups(alone, least, "window", "n", alone.count()).filter("least < _id")
-        out = out.unionByName(found.select("_id", "_key", F.col("at").alias("first"), (F.col("at") + k).alias("end")))
-    return out
+        for b in whole_groups(batches, "mini"):
+            yield _judge(b, k)
+
+    return moved.repartition(buckets, "mini").sortWithinPartitions("mini").mapInPandas(bucket, f"_id {kind}, _key long, first long, end long")
 
 
 def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
