@@ -108,6 +108,9 @@ def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """
     ready = rows[rows["end"] >= 0]
     rows = rows[rows["end"] < 0]
+    minis = rows["mini"].to_numpy()
+    again = minis[1:] == minis[:-1]
+    rows = rows[np.append(again, False) | np.append(False, again)] if len(rows) else rows  # a minimiser alone came by chance of the filter
     ids = rows["_id"].tolist()
     windows: list[bytes] = []
     owner: list[int] = []
