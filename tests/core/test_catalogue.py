@@ -19,6 +19,7 @@ def test_each_query_has_sql():
 @pytest.mark.parametrize("name", FEW)
 def test_equals_sql(spark, name):
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
@@ -27,5 +28,5 @@ def test_equals_sql(spark, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
-    rows = lambda df: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[cols].itertuples(index=False))
+    rows = lambda df: sorted(tuple("" if pd.isna(v) else str(v) for v in r) for r in df[cols].itertuples(index=False))
     assert [[x.removesuffix(".0") for x in r] for r in rows(got)] == [[x.removesuffix(".0") for x in r] for r in rows(want)]
