@@ -2,8 +2,9 @@
 
 A coarse quantiser, fitted on a bounded sample, deals unit vectors to inverted lists; what the list's centroid
 leaves is coded by one of CODES codewords in each subspace. A vector looks for neighbours in its own list and in
-each list whose border with its own is nearer than PROBE_MARGIN; as both vectors of a pair look, this reaches
-pairs whose difference across the border is up to twice the margin. In a list, table-lookup distances from the
+each list whose border with its own is within half the distance that the threshold allows. The vectors of a pair
+lie on both sides of their lists' border, so one of them at least is as near to it as that, and no pair is lost. In
+a list, table-lookup distances from the
 exact query to the coded members drop those that are farther than the threshold allows, given the length of what
 the code leaves of the member, so that the codes lose no pair; the rest is decided by the exact cosine.
 
@@ -31,11 +32,15 @@ from lucidgraph.llm.components import connected_components
 THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on at most; vectors a list should hold; lists at most; codewords a subspace.
 SAMPLE, LIST_SIZE, MAX_LISTS, CODES, SUBSPACES = 20_000, 128, 4096, 64, 8
-PROBE_MARGIN = 0.1
 #: Members of a list in one task.
 CHUNK = 2048
 
 
+def probe_margin(threshold: float) -> float:
+    """How near a list's border must be for the list to be probed: half the distance of unit vectors at the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2 + 1e-6
+
+
 @dataclass
 class Quantiser:
     """Coarse centroids and, for each subspace, codewords of residuals."""
@@ -182,7 +187,7 @@ def _compare(quantiser: Quantiser, dim: int, rows: pd.DataFrame, list_id: int, t
     return pd.DataFrame({"id": ids, "links": links, "root": [find(x) for x in ids.tolist()]})
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, margin: float = PROBE_MARGIN) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     kind, label_kind = (vectors.schema[c].dataType.simpleString() for c in (id_col, label_col))
@@ -202,6 +207,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         sample = [r["raw"] for r in classes.select("raw").limit(SAMPLE).collect()]
     lists = int(min(MAX_LISTS, max(16, n_classes // LIST_SIZE)))
     shared = spark.sparkContext.broadcast((fit_quantiser(_unit(sample, dim), lists), dim))
+    margin = probe_margin(threshold)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         quantiser, dim = shared.value

@@ -151,6 +151,19 @@ def test_embeddings(spark):
     assert got[306].n_links == 1 and got[301].n_links == 0 and got[303].component_id == 303 and got[None].n_links == 0
 
 
+def test_embeddings_across_borders(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embedding_dedup, "LIST_SIZE", 6)
+    rng = np.random.default_rng(8)
+    # a hot cluster that varies in three of 32 dimensions, dealt to many lists
+    v = np.concatenate([np.ones((1200, 1)), rng.normal(size=(1200, 3)) * 0.25, np.zeros((1200, 28))], axis=1) @ np.linalg.qr(rng.normal(size=(32, 32)))[0]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    assert want.sum() > 100_000 and [got[i] for i in range(len(v))] == want.tolist()
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_duplicates(docs).count() == 0
