@@ -3,8 +3,9 @@
 Documents are tokenised and ended by one id; only documents longer than a sequence are cut. Whole-length pieces
 are sequences of their own. The others are dealt by hash into blocks of about BLOCK pieces and each block is packed
 on its own: best-fit decreasing gives the first incumbent, then branch and bound goes through bins in order of
-their largest piece, enumerates the fillings around it that no other filling dominates, least waste first, prunes
-by the waste that an improvement may still have, and stops at the lower bound or after NODES nodes. The SPARE
+their largest piece, enumerates the fillings around it, of any number of pieces, least waste first, without those
+that are seen to be dominated, prunes by the waste that an improvement may still have, and stops at the lower bound
+or after NODES nodes. The SPARE
 emptiest bins of each block are opened again and packed together in another round, until one block is left.
 
 Defined cases: a null text counts as empty and is one piece of the end id; rows that repeat are packed one by one;
@@ -18,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ from lucidgraph.llm.common import staged, table
 LENGTH, END_ID = 4096, 1
 #: Pieces in a block, bins of a block that are packed again, and search nodes for a block.
 BLOCK, SPARE, NODES = 20_000, 8, 20_000
+#: Sizes from which on a first filling is looked for directly; bins whose enumerations are held.
+MANY_SIZES, OPEN = 256, 64
 #: Words kept with their ids in each Python worker, and the longest of them in bytes.
 CACHE_WORDS, CACHE_BYTES = 800_000, 48
 
@@ -166,46 +170,105 @@ class _Stock:
         if not self.count[s]:
             self.bits &= ~(1 << s)
 
+    def smallest(self) -> int:
+        return (self.bits & -self.bits).bit_length() - 1
+
     def largest(self, bound: int) -> int:
         """0 if there is none."""
         return (self.bits & ((2 << bound) - 1)).bit_length() - 1 if bound > 0 and self.bits & ((2 << bound) - 1) else 0
 
 
-def fillings(stock: _Stock, room: int, most: int = 32) -> list[tuple[int, ...]]:
-    """Fillings of a bin's room that none found dominates, least waste first.
-
-    One piece dominates all sets of pieces that fit within its size, so of single pieces only the largest that
-    fits counts, and a pair counts only if its sum exceeds it; a pair's second piece is the largest that fits.
-    Of a pair and a larger first piece the same holds with a third.
-    """
-    single = stock.largest(room)
-    if not single:
-        return [()]
-    if single == room:
-        return [(single,)]
-    found = {(single,): single}
-    a = single
-    while a and 2 * a > single - 1 and len(found) < most:
-        stock.take(a)
-        b = stock.largest(min(a, room - a))
-        if b and a + b > single:
-            found[a, b] = a + b
-            left = room - a - b
-            if left:
-                stock.take(b)
-                c = stock.largest(min(b, left))
-                if c:
-                    found[a, b, c] = a + b + c
-                    del found[a, b]
-                stock.add(b)
-        stock.add(a)
-        if any(total == room for total in list(found.values())[-2:]):
+def _quick_filling(stock: _Stock, room: int, steps: int = 400) -> tuple[int, ...] | None:
+    """A filling without waste, largest pieces first; None if it isn't found soon."""
+    chosen: list[int] = []
+    small, left, bound = stock.smallest(), room, room
+    while steps and left:
+        steps -= 1
+        s = stock.largest(min(bound, left))
+        if left - small < s < left:  # nothing would fit beside it
+            s = stock.largest(min(bound, left - small))
+        if s:
+            stock.take(s)
+            chosen.append(s)
+            left, bound = left - s, s
+        elif chosen:
+            s = chosen.pop()
+            stock.add(s)
+            left, bound = left + s, s - 1
+        else:
             break
-        a = stock.largest(a - 1)
-    totals = sorted(found.items(), key=lambda f: (-f[1], len(f[0])))
-    if len(totals) > 1 and (single,) in found and any(t > single and f[0] == single for f, t in totals):
-        totals = [x for x in totals if x[0] != (single,)]  # the same piece with more beside it dominates
-    return [f for f, _ in totals]
+    for s in chosen:
+        stock.add(s)
+    return None if left else tuple(chosen)
+
+
+def _dominated(stock: _Stock, filling: tuple[int, ...], waste: int) -> bool:
+    """Whether a piece outside could stand, within the waste, for none, one, two or all of the pieces."""
+    for s in filling:
+        stock.take(s)
+    sums = {a + b for a, b in combinations(filling, 2)} | ({sum(filling)} if len(filling) > 1 else set())
+    if waste:
+        sums |= {0} | {s + 1 for s in filling}
+        hit = any(0 < stock.largest(s + waste - (s - 1 in filling)) >= s for s in sums)
+    else:
+        hit = any(stock.bits >> s & 1 for s in sums)
+    for s in filling:
+        stock.add(s)
+    return hit
+
+
+def fillings(stock: _Stock, room: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of a bin's room of any number of pieces, least waste first; None in place of each dominated one.
+
+    While there are many sizes a first filling is looked for directly. Otherwise the sums that can be had from each
+    size down are tabulated as bits, so that the enumeration has no dead ends. The stock must be the same whenever
+    the next filling is asked for.
+    """
+    if not stock.largest(room):
+        yield ()
+        return
+    if stock.count[room]:
+        yield (room,)  # all others fit within this piece
+        return
+    first = None
+    usable = stock.bits & ((2 << room) - 1)
+    if usable.bit_count() > MANY_SIZES:
+        first = _quick_filling(stock, room)
+        if first:
+            yield first
+    sizes, bits = [], usable
+    while bits:
+        sizes.append(bits.bit_length() - 1)
+        bits ^= 1 << sizes[-1]
+    mask, reach = (2 << room) - 1, [1]
+    for s in reversed(sizes):
+        sums, many, step = reach[-1], min(stock.count[s], room // s), 1
+        while many:
+            step = min(step, many)
+            sums |= sums << s * step & mask
+            many, step = many - step, 2 * step
+        reach.append(sums)
+    reach.reverse()
+
+    def of_sum(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        while reach[i] >> total & 1:
+            s = sizes[i]
+            for many in range(min(stock.count[s], total // s), 0, -1):
+                if reach[i + 1] >> total - many * s & 1:
+                    for rest in of_sum(i + 1, total - many * s):
+                        yield (s,) * many + rest
+            i += 1
+
+    sums = reach[0] ^ 1
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for f in of_sum(0, total):
+            if f != first:
+                yield None if _dominated(stock, f, room - total) else f
 
 
 def pack_sizes(sizes: list[int], length: int, nodes: int = NODES) -> list[list[int]]:
@@ -218,41 +281,51 @@ def pack_sizes(sizes: list[int], length: int, nodes: int = NODES) -> list[list[i
     stock = _Stock(sizes, length)
     path: list[tuple[int, ...]] = []
     waste, used = 0, 0
-    options: list[list[tuple[int, ...]]] = []
+    asked: list[int] = []  # of each bin, how many of its fillings were looked at
+    open_: dict[int, Iterator] = {}  # enumerations of the last bins; those of earlier ones are begun anew
 
-    def choices() -> list[tuple[int, ...]]:
-        top = stock.bits.bit_length() - 1
+    def following() -> tuple[int, ...] | None:
+        """Next filling of the bin at hand; () where there is none left."""
+        k, top = len(path), stock.bits.bit_length() - 1
         stock.take(top)
-        rest = fillings(stock, length - top)
+        if k not in open_:
+            open_[k] = islice(fillings(stock, length - top), asked[k], None)
+            open_.pop(k - OPEN, None)
+        found = next(open_[k], False)
         stock.add(top)
-        return [(top, *f) for f in rest][::-1]  # the best at the end
-
-    options.append(choices())
-    while options and used < nodes + 4 * len(best) and len(best) > least:
-        if not options[-1]:
-            options.pop()
-            if path:
-                for s in path[-1]:
-                    stock.add(s)
-                waste -= length - sum(path.pop())
-            continue
-        pick = options[-1].pop()
+        asked[k] += 1
+        return () if found is False else None if found is None else (top, *found)
+
+    def back() -> None:
+        nonlocal waste
+        for s in path[-1]:
+            stock.add(s)
+        waste -= length - sum(path.pop())
+
+    asked.append(0)
+    while used < nodes + 4 * len(best) and len(best) > least:
+        pick = following()
         used += 1
+        if pick is None:
+            continue
         spill = length - sum(pick)
-        # An improvement has len(best) - 1 bins at most, so its waste is bounded.
-        if waste + spill > (len(best) - 1) * length - total:
+        # An improvement has len(best) - 1 bins at most, so its waste is bounded; later fillings waste no less.
+        if not pick or waste + spill > (len(best) - 1) * length - total:
+            open_.pop(len(path), None)
+            asked.pop()
+            if not path:
+                break
+            back()
             continue
         for s in pick:
             stock.take(s)
         path.append(pick)
         waste += spill
-        if not stock.bits:
+        if stock.bits:
+            asked.append(0)
+        else:
             best = [list(p) for p in path]
-            for s in path[-1]:
-                stock.add(s)
-            waste -= length - sum(path.pop())
-            continue
-        options.append(choices())
+            back()
     return best
 
 

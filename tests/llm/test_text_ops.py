@@ -82,6 +82,29 @@ def test_packing_is_optimal_on_small_cases():
         assert len(bins) == optimum(sizes, 100)
 
 
+def test_fillings_of_any_number_of_pieces():
+    assert next(packing.fillings(packing._Stock([50, 45, 26, 24], 100), 100)) == (50, 26, 24)
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes, room = [rng.randrange(3, 40) for _ in range(9)], rng.randrange(40, 120)
+        sums = {sum(c) for n in range(10) for c in itertools.combinations(sizes, n)}
+        got = [sum(f) for f in packing.fillings(packing._Stock(sizes, 120), room) if f is not None]
+        assert got[0] == max(x for x in sums if x <= room) and got == sorted(got, reverse=True)
+
+
+@pytest.mark.parametrize("many, bins, least, most", [(5, 200, 700, 950), (7, 150, 400, 800), (10, 100, 300, 520)])
+def test_packing_fills_bins_of_many_pieces(many, bins, least, most):
+    rng, sizes = random.Random(1), []
+    while len(sizes) < many * bins:
+        part = [rng.randint(least, most) for _ in range(many - 1)]
+        if least <= 4096 - sum(part) <= most:
+            sizes += [*part, 4096 - sum(part)]
+    rng.shuffle(sizes)
+    got = packing.pack_sizes(sizes, 4096)
+    assert sorted(itertools.chain(*got)) == sorted(sizes) and all(sum(b) <= 4096 for b in got)
+    assert bins <= len(got) <= bins + 1 < len(packing.best_fit(sizes, 4096))
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_packing(spark, block):
     rng = random.Random(4)
