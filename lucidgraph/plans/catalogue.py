@@ -476,8 +476,12 @@ def _(spark, d):
     return graph.callers_index(call_edges(spark, d)).withColumn("callers", F.array_join(F.col("callers").cast("array<string>"), ","))
 
 
-def _neighbour_sql(src: str, dst: str, where: str) -> str:
-    return f"""WITH RECURSIVE {_EDGE}, top AS (SELECT caller AS node FROM a_call_edge GROUP BY caller ORDER BY count(*) DESC, caller LIMIT 20),
+_MOST_CALLING = "SELECT caller AS node FROM a_call_edge GROUP BY caller ORDER BY count(*) DESC, caller LIMIT 20"
+_EVERY_NODE = "SELECT p_partkey AS node FROM part"
+
+
+def _neighbour_sql(src: str, dst: str, where: str, roots: str = _MOST_CALLING) -> str:
+    return f"""WITH RECURSIVE {_EDGE}, top AS ({roots}),
     walk(path, depth, node, cycle) AS (SELECT [node], 0, node, false FROM top UNION ALL
       SELECT DISTINCT list_append(path, e.{dst}), depth + 1, e.{dst}, list_contains(path, e.{dst}) FROM walk JOIN a_call_edge e ON e.{src} = walk.node
       WHERE NOT cycle AND {where} AND (depth < 2 OR depth = 2 AND list_contains(path, e.{dst})))
@@ -500,6 +504,18 @@ def _(spark, d):
     return graph.neighbourhood(_top(edges), edges, 2, callers=True).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
+@query("neighborhood_callees_d2_every_node", _neighbour_sql("caller", "callee", "true", _EVERY_NODE))
+def _(spark, d):
+    edges = recursion.written(call_edges(spark, d))
+    return graph.neighbourhood(nodes(spark, d).select("node"), edges, 2).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query("neighborhood_callers_d2_every_node", _neighbour_sql("callee", "caller", "e.caller <> e.callee", _EVERY_NODE))
+def _(spark, d):
+    edges = recursion.written(call_edges(spark, d))
+    return graph.neighbourhood(nodes(spark, d).select("node"), edges, 2, callers=True).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
 @query("symbol_ref_parse", "SELECT p_partkey, p_brand || ':x' AS path, p_size AS line, p_name AS name FROM part")
 def _(spark, d):
     ref = schema.symbol_ref(F.concat("p_brand", F.lit(":x")), F.col("p_size"), F.col("p_name"))

@@ -30,3 +30,31 @@ def test_equals_sql(spark, name):
     assert cols == sorted(got.columns)
     rows = lambda df: sorted(tuple("" if pd.isna(v) else str(v) for v in r) for r in df[cols].itertuples(index=False))
     assert [[x.removesuffix(".0") for x in r] for r in rows(got)] == [[x.removesuffix(".0") for x in r] for r in rows(want)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("side", ["callees", "callers"])
+def test_neighbourhoods_of_every_node(spark, side):
+    import duckdb
+
+    name, beside = f"neighborhood_{side}_d2_every_node", {}
+    for e in catalogue.call_edges(spark, SF).collect():
+        a, b = (e.caller, e.callee) if side == "callees" else (e.callee, e.caller)
+        if side == "callees" or a != b:
+            beside.setdefault(a, set()).add(b)
+    want = []
+
+    def walk(path):
+        cycle = path[-1] in path[:-1]
+        if len(path) <= 3 or cycle:
+            want.append((">".join(map(str, path)), len(path) - 1, path[-1], cycle))
+            for n in () if cycle else beside.get(path[-1], ()):
+                walk([*path, n])
+
+    for part in catalogue.nodes(spark, SF).collect():
+        walk([part.node])
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, SF).collect())) == sorted(want)
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(con.execute(catalogue.ORACLES[name]).fetchall()) == sorted(want)
