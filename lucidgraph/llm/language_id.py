@@ -4,8 +4,9 @@ Each language has a tree of byte contexts of up to ORDER bytes with the counts o
 codes a byte that it has seen by n / (N + D), N being its total and D its number of different bytes; otherwise it
 escapes with D / (N + D) to the next shorter context, where the bytes already excluded don't count; the empty
 context escapes to all 256 bytes alike. The statistics are frozen after training, so that a text's code length
-under each language is a sum over its bytes; contexts and lengths are tabulated once. The language with the
-shortest code is predicted; the score is its posterior under equal priors.
+under each language is a sum over its bytes; contexts and lengths are tabulated once, for each language those
+contexts that it has seen. The language with the shortest code is predicted; the score is its posterior under equal
+priors.
 
 Training reads about TRAIN_DOCS documents of each language, chosen by a hash of the id; each is read as a whole, in
 lower case, and so is each text that is scored.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lucidgraph.llm.common import table
 
-#: Longest context in bytes; documents learned from for each language; languages and table entries at most.
-ORDER, TRAIN_DOCS, MAX_LANGS, MAX_CELLS = 3, 2500, 200, 8_000_000
+#: Longest context in bytes; documents learned from for each language.
+ORDER, TRAIN_DOCS = 3, 2500
 #: A context of 1, 2 or 3 bytes is kept if a language has seen it so often.
 LEAST_SEEN = (1, 6, 12)
 #: Bytes scored at once.
@@ -79,13 +80,21 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 @dataclass
 class PpmModel:
-    """langs; symbol of each byte; context of three symbols; code length in bits by context * symbols + symbol and language."""
+    """langs; symbol of each byte; context of three symbols; for each language the row of each context, and code length
+    in bits by row * symbols + symbol. Contexts that a language hasn't seen have the row of the next shorter one."""
 
     langs: list[str]
     symbol: np.ndarray
     n_symbols: int
     context: np.ndarray
-    bits: np.ndarray
+    rows: list[np.ndarray]
+    lengths: list[np.ndarray]
+
+    @property
+    def bits(self) -> np.ndarray:
+        """Code lengths in full, by context * symbols + symbol and language; large where there are many languages."""
+        full = [lengths.reshape(-1, self.n_symbols)[rows].ravel() for rows, lengths in zip(self.rows, self.lengths, strict=True)]
+        return np.stack(full, axis=1)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Exact code length in bits of each text under each language."""
@@ -107,15 +116,16 @@ class PpmModel:
     def _add(self, parts: list[bytes], owner: list[int], out: np.ndarray) -> None:
         s = self.symbol[np.frombuffer(b"".join(parts), dtype=np.uint8)]
         n = self.n_symbols
-        at = self.context[(s[:-3] * n + s[1:-2]) * n + s[2:-1]] * n + s[3:]
+        context, byte = self.context[(s[:-3] * n + s[1:-2]) * n + s[2:-1]], s[3:]
         lengths = np.array([len(p) for p in parts])
         starts = np.cumsum(lengths) - lengths
         # bytes before a part's own belong to none: their sums go to places that are not read
         edges = np.empty(2 * len(parts), dtype=np.int64)
         edges[0::2], edges[1::2] = starts, starts + lengths - ORDER
-        edges = np.minimum(edges, len(at))
-        rows = np.concatenate([self.bits[at], np.zeros((1, self.bits.shape[1]), dtype=self.bits.dtype)])
-        np.add.at(out, owner, np.add.reduceat(rows, edges, axis=0, dtype=np.float64)[0::2])
+        edges = np.minimum(edges, len(byte))
+        for j, (rows, lengths) in enumerate(zip(self.rows, self.lengths, strict=True)):
+            own = np.append(lengths[rows[context] * n + byte], np.float32(0))
+            np.add.at(out[:, j], owner, np.add.reduceat(own, edges, dtype=np.float64)[0::2])
 
 
 def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
@@ -143,7 +153,6 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
         return out
 
     kept: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]  # contexts of each order, in order
-    room = max(1, MAX_CELLS // (n * len(langs)) - 1 - n)
     for order in range(1, ORDER + 1):
         weight = np.zeros(n**order)
         for parts, seen in grams.values():
@@ -152,38 +161,39 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
         found = np.flatnonzero(weight)
         if order > 1:  # a context stands only below its own shorter one
             found = found[np.isin(found % n ** (order - 1), kept[-1])]
-            if len(found) > room:
-                found = np.sort(found[np.argsort(-weight[found], kind="stable")[:room]])
-            room -= len(found)
         kept.append(found)
 
     first = np.cumsum([0] + [len(k) for k in kept])
-    bits = np.empty((first[-1] * n, len(langs)), dtype=np.float32)
-    for j, lang in enumerate(langs):
+    all_rows, all_lengths = [], []
+    for lang in langs:
         parts, seen = grams[lang]
-        below = np.full((1, n), 1 / 256)  # probabilities in the next shorter contexts
-        below[0, n - 1] = 1 / 256
+        rows, lengths, n_rows = np.zeros(first[-1], dtype=np.int64), [], 0
+        below = np.full((1, n), 1 / 256)  # probabilities in the next shorter contexts that this language has seen
         shorter = np.zeros(1, dtype=np.int64)
         for order in range(ORDER + 1):
             contexts = kept[order]
             ctx = context_of(parts, order)
             place = np.searchsorted(contexts, ctx)
             ok = (place < len(contexts)) & (contexts[np.minimum(place, len(contexts) - 1)] == ctx) if len(contexts) else np.zeros(len(ctx), bool)
-            table_ = np.bincount(place[ok] * n + parts[3][ok], weights=seen[ok], minlength=len(contexts) * n).reshape(len(contexts), n)
+            mine, place = np.unique(place[ok], return_inverse=True)
+            table_ = np.bincount(place * n + parts[3][ok], weights=seen[ok], minlength=len(mine) * n).reshape(len(mine), n)
             if order:
-                parent = np.searchsorted(shorter, contexts % n ** (order - 1))
-                low = below[parent]
+                # what has seen a context has seen its shorter one too
+                low = below[np.searchsorted(shorter, contexts[mine] % n ** (order - 1))]
+                rows[first[order] : first[order + 1]] = rows[first[order - 1] + np.searchsorted(kept[order - 1], contexts % n ** (order - 1))]
             else:
                 low = below
+            rows[first[order] + mine] = n_rows + np.arange(len(mine))
+            n_rows += len(mine)
             total = table_.sum(axis=1, keepdims=True)
             kinds = (table_ > 0).sum(axis=1, keepdims=True)
             rest = np.where(table_ > 0, 0, low)
             left = np.maximum(rest.sum(axis=1, keepdims=True), 1e-12) if order else np.maximum(1 - (kinds / 256), 1e-12)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                prob = np.where(table_ > 0, table_ / (total + kinds), rest / left * (kinds / (total + kinds)))
-            prob = np.where(total > 0, prob, low)
-            bits[first[order] * n : first[order + 1] * n, j] = -np.log2(np.maximum(prob, 1e-12)).ravel()
-            below, shorter = prob, contexts
+            prob = np.where(table_ > 0, table_ / (total + kinds), rest / left * (kinds / (total + kinds)))
+            lengths.append(-np.log2(np.maximum(prob, 1e-12)).astype(np.float32).ravel())
+            below, shorter = prob, contexts[mine]
+        all_rows.append(rows.astype(np.int32))
+        all_lengths.append(np.concatenate(lengths))
 
     context = np.zeros(n**3, dtype=np.int64)
     whole = np.arange(n**3)
@@ -192,18 +202,15 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
             ctx = whole % n**order
             place = np.minimum(np.searchsorted(kept[order], ctx), len(kept[order]) - 1)
             context = np.where(kept[order][place] == ctx, first[order] + place, context)
-    return PpmModel(langs, symbol, n, context.astype(np.int32), bits)
+    return PpmModel(langs, symbol, n, context.astype(np.int32), all_rows, all_lengths)
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> PpmModel | None:
     """Learns from the folds that are not held out; None where there is nothing to learn from."""
     usable = docs.filter((fold_of(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count")).limit(MAX_LANGS).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[x for lang, k in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_docs / k)))])
+    sizes = usable.groupBy(lang_col).agg(F.count("*").alias("_size"))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(77)), F.lit(1_000_000).cast("long")) / 1_000_000
-    sample = usable.filter(chance < F.try_element_at(share, F.col(lang_col)))
+    sample = usable.join(F.broadcast(sizes), lang_col).filter(chance < F.lit(train_docs) / F.col("_size"))
     got = count_grams(sample, text_col, lang_col).toArrow().to_pandas()
     counts = {lang: (part["gram"].to_numpy(), part["seen"].to_numpy()) for lang, part in got.groupby("lang")}
     return fit_tables(counts) if counts else None

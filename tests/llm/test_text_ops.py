@@ -164,6 +164,26 @@ def test_languages(spark):
     language_id.SEGMENT = kept
 
 
+def test_languages_are_not_capped(spark):
+    rng = random.Random(12)
+    rows = [(10 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('aeiou')}" for _ in range(40)), f"l{k:03}") for k in range(205) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs)
+    learned = {r.lang for r in docs.filter(language_id.fold_of("doc_id") != 0).select("lang").distinct().collect()}
+    assert len(learned) > 200 and model.langs == sorted(learned)
+
+
+def test_contexts_do_not_vanish_as_languages_are_added():
+    rng = np.random.default_rng(2)
+    texts = {f"l{k}": bytes(rng.integers(33 + 3 * k, 45 + 3 * k, 30_000, dtype=np.uint8)) for k in range(60)}
+    counts = {lang: np.unique(language_id._grams(t), return_counts=True) for lang, t in texts.items()}
+    few, many = (language_id.fit_tables({k: counts[k] for k in sorted(counts)[:n]}) for n in (2, 60))
+    # a context kept for some languages is kept beside others too: no shorter one stands for it
+    at = lambda m, t: m.context[(m.symbol[t[0]] * m.n_symbols + m.symbol[t[1]]) * m.n_symbols + m.symbol[t[2]]]
+    longest = lambda m: {g for g in {texts["l0"][i : i + 3] for i in range(3000)} if at(m, g) != at(m, bytes([255]) + g[1:])}
+    assert longest(few) and longest(few) <= longest(many)
+
+
 def test_licenses(spark):
     filler = "one two three four five six seven eight nine ten "
     grant = license_scan.TEMPLATES["MIT-grant"]
