@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page. A line weighs as
 links, or nothing where the markup says that it is no article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments; all that lies outside <article> or <main> where the page has one). The weights of WINDOW
 lines from each line on are summed; a surge point is where the sum rises to the threshold, a dive point where it
-falls to nothing. Of the stretches between them the heaviest is kept, from its first to its last line of any weight.
+falls to nothing. All stretches between them are kept, each from its first to its last line of any weight. Where no
+sum rises to the threshold, any weight makes a surge. Where the page has <article> or <main>, these alone decide.
 
 Defined cases: null html is empty text; malformed markup is read as far as it goes; a page without any line of
 article text gives an empty string.
@@ -136,7 +137,10 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         weights = [weight * k for (_, weight, _, _), k in zip(lines, keep, strict=True)]
     upto = [0, *accumulate(weights)]
     sums = [upto[min(i + window, len(weights))] - upto[i] for i in range(len(weights))]
-    best, heaviest, i = (0, 0), 0, 0
+    if max(sums, default=0) < surge:
+        surge = 1
+    kept: list[str] = []
+    i = 0
     while i < len(sums):
         if sums[i] < surge:
             i += 1
@@ -144,10 +148,9 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         start = i
         while i < len(sums) and sums[i] > 0:
             i += 1
-        if (weight := sum(weights[start:i])) > heaviest:
-            best, heaviest = (start, i), weight
-    weighty = [i for i in range(*best) if weights[i]]
-    return " ".join(lines[i][0] for i in range(weighty[0], weighty[-1] + 1) if keep[i]) if weighty else ""
+        weighty = [k for k in range(start, i) if weights[k]]
+        kept += [lines[k][0] for k in range(weighty[0], weighty[-1] + 1) if keep[k]]
+    return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -135,6 +135,13 @@ def test_html():
     assert html_text.main_text("<article>" + "<div>" * 5000 + "deep</article>") == "deep"
 
 
+def test_html_keeps_all_stretches():
+    links = "".join(f"<div><a href=x>link {i}</a></div>" for i in range(5))
+    first, second = "word " * 40 + "one", "more " * 25 + "two"
+    assert html_text.main_text(f"<body>{links}<p>{first}</p>{links}<p>{second}</p>{links}</body>") == f"{first} {second}"
+    assert html_text.main_text(f"<body>{links}<p>A short text.</p>{links}</body>") == "A short text."
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_text.extract_pages(pages.drop("text")).collect()}
