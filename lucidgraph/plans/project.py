@@ -93,13 +93,22 @@ class Project:
         return closure(root, edges)
 
 
-def render_entry_points(found: DataFrame, limit: int = 100) -> str:
-    """A text report of the first entry points."""
-    rows = found.limit(limit).collect()
-    return "\n".join(["Entry points by call-tree size:", *[f"- {r.signature} -- {r.tree_size} calls ({r.file_path}:{r.start_line}#{r.name})" for r in rows]])
+def render_entry_points(found: DataFrame, limit: int | None = None) -> str:
+    """A text report of the entry points, or of the first of them and how many more there are."""
+    rows = (found if limit is None else found.limit(limit)).toLocalIterator()
+    lines = [f"- {r.signature} -- {r.tree_size} calls ({r.file_path}:{r.start_line}#{r.name})" for r in rows]
+    return "\n".join(["Entry points by call-tree size:", *lines, *_left_out(found, len(lines), limit)])
 
 
-def render_tree(tree: DataFrame, nodes: DataFrame, limit: int = 1000) -> str:
-    names = {r.node: f"{r.name} ({r.file_path}:{r.start_line})" for r in nodes.join(tree.select("node").distinct(), "node", "left_semi").limit(limit).collect()}
-    rows = sorted(tree.limit(limit).collect(), key=lambda r: r.path)
-    return "\n".join("  " * r.depth + names.get(r.node, r.node) + (" [cycle]" if r.cycle else "") for r in rows)
+def render_tree(tree: DataFrame, nodes: DataFrame, limit: int | None = None) -> str:
+    """A text report of the tree in the order of its paths, or of its first rows and how many more there are."""
+    about = nodes.select("node", F.format_string("%s (%s:%s)", "name", "file_path", "start_line").alias("_shown")).dropDuplicates(["node"])
+    rows = tree if limit is None else tree.orderBy("path").limit(limit)
+    rows = rows.join(about, "node", "left").orderBy("path")
+    lines = ["  " * r.depth + (r["_shown"] or r.node) + (" [cycle]" if r.cycle else "") for r in rows.toLocalIterator()]
+    return "\n".join([*lines, *_left_out(tree, len(lines), limit)])
+
+
+def _left_out(of: DataFrame, shown: int, limit: int | None) -> list[str]:
+    more = 0 if limit is None or shown < limit else of.count() - shown
+    return [f"({more} more not shown)"] if more else []

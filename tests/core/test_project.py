@@ -51,3 +51,17 @@ def test_neighbourhood_and_upsert(project, spark):
     assert called(after) == called(whole)
     skipped = {r.path for r in project.facts["skipped"].collect()}
     assert skipped == {"broken.py", "x.rs"}
+
+
+def test_reports_are_whole(project, spark):
+    from lucidgraph.plans.project import render_tree
+
+    tree = spark.range(1500).selectExpr("array('root', printf('n%04d', 1499 - id)) AS path", "1 AS depth", "printf('n%04d', 1499 - id) AS node", "id = 0 AS cycle").repartition(7)
+    nodes = spark.range(1500).selectExpr("printf('n%04d', id) AS node", "concat('f', id) AS name", "'a.py' AS file_path", "id AS start_line")
+    lines = render_tree(tree, nodes).split("\n")
+    assert lines == [f"  f{i} (a.py:{i})" for i in range(1499)] + ["  f1499 (a.py:1499) [cycle]"]
+    assert render_tree(tree, nodes, limit=2).split("\n") == [*lines[:2], "(1498 more not shown)"]
+    found = spark.range(150).selectExpr("printf('s%03d', id) AS signature", "150 - id AS tree_size", "'a.py' AS file_path", "id AS start_line", "'n' AS name").orderBy("signature")
+    report = render_entry_points(found).split("\n")
+    assert len(report) == 151 and report[-1].startswith("- s149 ")
+    assert render_entry_points(found, limit=100).split("\n") == [*report[:101], "(50 more not shown)"]
