@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from lucidgraph.llm.common import staged, table
 from lucidgraph.llm.exact_dedup import exact_dedup
 from lucidgraph.llm.jaccard_join import ngram_dedup
-from lucidgraph.llm.language_id import fit_language_model, predict_languages
+from lucidgraph.llm.language_id import fit_language_model, has_letter, predict_languages
 from lucidgraph.llm.packing import pack_pieces, tokenized_pieces
 from lucidgraph.llm.substring_dedup import substring_dedup
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language, with the language predicted as their lang where they had none."""
-    found = predict_languages(docs, fit_language_model(docs), pred_col="_pred", score_col="_score")
+    """Keeps texts that have a letter, with the language predicted as their lang where they had none.
+
+    Where no language can be learned, lang stays as it is.
+    """
+    model = fit_language_model(docs)
+    if model is None:
+        return docs.filter(F.udf(has_letter, "boolean")("text"))
+    found = predict_languages(docs, model, pred_col="_pred", score_col="_score")
     return found.filter("_pred <> 'und'").withColumn("lang", F.coalesce("lang", "_pred")).select(*docs.columns)
 
 

@@ -191,6 +191,14 @@ def test_contexts_do_not_vanish_as_languages_are_added():
     assert longest(few) and longest(few) <= longest(many)
 
 
+def test_pipeline_without_languages(spark):
+    import corpus_pipeline
+
+    rows = [(1, "clean text", None), (2, "漢字", None), (3, None, None), (4, "123 !", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, docs, "").collect())) == rows[:2]
+
+
 def test_licenses(spark):
     filler = "one two three four five six seven eight nine ten "
     grant = license_scan.TEMPLATES["MIT-grant"]
