@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to Python at once where the session leaves Spark's default of 10,000: texts can be long.
+BATCH_ROWS = 2000
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the setting is unset."""
+    """The shared folder of the cluster. One of our own only where the setting is unset and all runs on this machine."""
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared or '/tmp/lucidgraph-scratch'}/lucidgraph"
 
 
@@ -34,7 +43,66 @@ def staged(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no result reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t._staged_at
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold of long texts. A size that the session has set itself stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def lean(f: Callable) -> Callable:
+    """A function over batches whose worker gives free memory back to the system at the end of each task."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+_CACHE: dict[str, object] = {}
+
+
+def worker_cache(key: str, make: Callable[[], object]):
+    """One cached object for each Python worker: asking for another drops the one before."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that a column of ours can't clash with one of theirs."""
+    return F.struct(*[column(c) for c in df.columns])
 
 
 def filter_bits(n: int, per_key: int = 16) -> int:
@@ -80,6 +148,33 @@ def bits_at(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
+class BitFilter:
+    """Tells rows whose key is not among given keys, or, with twice, is among them once at most.
+
+    Two cells a key; a key's bits lie in pieces that are broadcast, MAX_FILTER_BITS in all at most. Beyond that
+    the filter only lets more rows through. keys: one column, key.
+    """
+
+    SEEDS = (11, 23)
+
+    def __init__(self, keys: DataFrame, n_keys: int, *, twice: bool = False):
+        self.bits = filter_bits(n_keys)
+        cells = keys.select(F.explode(F.array(*[bit_cell(F.col("key"), self.bits, s) for s in self.SEEDS])).alias("cell"))
+        if twice:
+            cells = cells.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits > 1").select("cell")
+        self.pieces = staged(bit_pieces(cells), "filter")
+
+    def mark(self, rows: DataFrame, key: Column) -> DataFrame:
+        """rows, which have no columns _p0 to _b1 of their own, with a column _maybe."""
+        tests = []
+        for i, seed in enumerate(self.SEEDS):
+            cell = bit_cell(key, self.bits, seed)
+            piece = F.broadcast(self.pieces.select(F.col("piece").alias(f"_p{i}"), F.col("bitmap").alias(f"_b{i}")))
+            rows = rows.join(piece, piece_of(cell) == F.col(f"_p{i}"), "left")
+            tests.append(has_bit(F.col(f"_b{i}"), cell))
+        return rows.withColumn("_maybe", reduce(lambda a, b: a & b, tests)).drop("_p0", "_p1", "_b0", "_b1")
+
+
 def hot_limit(n_rows: int) -> int:
     """Rows of a key above which it is hot; fewer than MAX_HOT keys can be."""
     return max(1, n_rows // MAX_HOT, min(n_rows // FEW, HOT_ROWS))

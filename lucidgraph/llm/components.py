@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import attach_groups, staged
+from lucidgraph.llm.common import attach_groups, discard, staged
 
 
-def _star(edges: DataFrame, n: int) -> DataFrame:
-    """edges: u, v. Each u with each v and the least of u and its neighbours."""
+def _star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """edges: u, v. Each u with each v and the least of u and its neighbours; and the table of the least."""
     least = staged(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("_degree")), "least")
-    return attach_groups(edges, least, "u", "_degree", n)
+    return attach_groups(edges, least, "u", "_degree", n), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b, not null. One row for each node that has a smaller one in its component: node, component.
 
-    component is the smallest node of the component. Edges in both directions, loops and repeats do no harm.
+    component is the smallest node of the component. Edges in both directions, loops and repeats do no harm, and
+    without edges there are no rows. Tables of earlier rounds are deleted.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
@@ -27,8 +28,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = (n, mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct()
-        large = staged(large, "edges")
-        small = _star(large, large.count())
+        large, least = _star(both, 2 * n)
+        large = staged(large.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct(), "edges")
+        discard(now, least)
+        small, least = _star(large, large.count())
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.*")
         now = staged(small.filter("u <> v").distinct(), "edges")
+        discard(large, least)

@@ -6,7 +6,8 @@ not are unique and pass straight through; only the others shuffle. The filter ha
 fixed bound; beyond the bound it only lets more rows through to the exact step, the result stays whole.
 
 Defined cases: a null text counts as empty. A row with a null doc_id stays only in a group without any other.
-Of rows that repeat both doc_id and text, one stays. Other columns are carried along untouched.
+Of rows that repeat both doc_id and text, any one stays, whatever their other columns. Texts may be of any length. An
+empty table gives no rows. Other columns, whatever their names, are carried along untouched.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import attach_groups, bit_cell, bit_pieces, filter_bits, has_bit, piece_of, staged, table
+from lucidgraph.llm.common import BitFilter, attach_groups, column, staged, table, whole_row
 
 SPACE = r"[\x20\x09-\x0D]+"
-_SEEDS = (11, 23)
 
 
 def text_digest(text: Column) -> Column:
@@ -25,32 +25,11 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ").cast("binary"), 256))
 
 
-class RepeatFilter:
-    """Bits of the cells that were hit more than once."""
-
-    def __init__(self, digests: DataFrame, column: str, n_rows: int):
-        self.column, self.bits = column, filter_bits(n_rows)
-        cells = digests.select(F.explode(F.array(*[self.cell(s) for s in _SEEDS])).alias("cell"))
-        twice = cells.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits > 1").select("cell")
-        self.pieces = staged(bit_pieces(twice), "repeat-filter")
-
-    def cell(self, seed: int) -> Column:
-        return bit_cell(F.col(self.column), self.bits, seed)
-
-    def mark(self, rows: DataFrame) -> DataFrame:
-        """rows with a column _maybe: whether the row's digest may occur more than once."""
-        for i, seed in enumerate(_SEEDS):
-            piece = F.broadcast(self.pieces.select(F.col("piece").alias(f"_p{i}"), F.col("bitmap").alias(f"_b{i}")))
-            rows = rows.join(piece, piece_of(self.cell(seed)) == F.col(f"_p{i}"), "left")
-        both = [has_bit(F.col(f"_b{i}"), self.cell(seed)) for i, seed in enumerate(_SEEDS)]
-        return rows.withColumn("_maybe", both[0] & both[1]).drop("_p0", "_p1", "_b0", "_b1")
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256."""
-    keyed = staged(docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_digest")).withColumn("_row", F.monotonically_increasing_id()), "digests")
+    keyed = staged(docs.select(column(id_col).alias("_id"), text_digest(column(text_col)).alias("_digest")).withColumn("_row", F.monotonically_increasing_id()), "digests")
     n_rows = keyed.count()
-    marked = RepeatFilter(keyed, "_digest", n_rows).mark(keyed)
+    marked = BitFilter(keyed.select(F.col("_digest").alias("key")), n_rows, twice=True).mark(keyed, F.col("_digest"))
     maybe = marked.filter("_maybe").drop("_maybe")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("first")
     groups = staged(maybe.groupBy("_digest").agg(first, F.count("*").alias("group_size")), "groups")
@@ -62,19 +41,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their own columns. Rows that cannot repeat are not shuffled."""
-    columns = docs.columns
-    keyed = staged(docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_digest")), "digests")
+    keyed = staged(docs.select(column(id_col).alias("_id"), text_digest(column(text_col)).alias("_digest")), "digests")
     n_rows = keyed.count()
-    seen = RepeatFilter(keyed, "_digest", n_rows)
+    seen = BitFilter(keyed.select(F.col("_digest").alias("key")), n_rows, twice=True)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("_first")
-    groups = staged(seen.mark(keyed).filter("_maybe").groupBy("_digest").agg(first, F.count("*").alias("_size")), "groups")
-    whole = docs.withColumn("_digest", text_digest(F.col(text_col)))
-    marked = seen.mark(whole)
-    single = marked.filter("not _maybe").select(*columns)
+    groups = staged(seen.mark(keyed, F.col("_digest")).filter("_maybe").groupBy("_digest").agg(first, F.count("*").alias("_size")), "groups")
+    whole = docs.select(whole_row(docs).alias("_row"), column(id_col).alias("_id"), text_digest(column(text_col)).alias("_digest"))
+    marked = seen.mark(whole, F.col("_digest"))
+    single = marked.filter("not _maybe").select("_row.*")
     # Only a group's own first row goes on, so dropping repeats of it moves few rows.
     maybe = marked.filter("_maybe").drop("_maybe")
-    kept = attach_groups(maybe, groups, "_digest", "_size", n_rows).filter(F.col(id_col).eqNullSafe(F.col("_first.id")))
-    return single.unionByName(kept.dropDuplicates(["_digest"]).select(*columns))
+    kept = attach_groups(maybe, groups, "_digest", "_size", n_rows).filter(F.col("_id").eqNullSafe(F.col("_first.id")))
+    return single.unionByName(kept.dropDuplicates(["_digest"]).select("_row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

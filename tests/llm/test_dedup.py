@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lucidgraph.llm import common, embedding_dedup, exact_dedup, jaccard_join, substring_dedup
 
@@ -83,21 +85,58 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
+def row_components(rows, k, num):
+    """Of each row the size of its set and the smallest id that its text reaches; rows, not ids, are linked."""
+    sets = [shingles(t, k) if i is not None else set() for i, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    at = components(pairs, range(len(rows)))
+    least = {}
+    for r, root in at.items():
+        least[root] = min(least.get(root, rows[r][0]), rows[r][0]) if rows[r][0] is not None else None
+    return [(i, len(shingles(t, k)), least[at[r]]) for r, (i, t) in enumerate(rows)], at
+
+
+def ordered(found):
+    return sorted(map(tuple, found), key=repr)
+
+
 @pytest.mark.parametrize("k,num,chunk", [(3, 90, 800), (5, 80, 800), (3, 90, 4), (2, 60, 3)])
 def test_jaccard(spark, monkeypatch, k, num, chunk):
     monkeypatch.setattr(jaccard_join, "CHUNK_DOCS", chunk)
     if chunk < 800:
         monkeypatch.setattr(jaccard_join, "hot_limit", lambda n: 4)
     rows = corpus()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.ngram_components(frame(spark, rows, False), n=k, similar=(num, 100)).collect()}
-    sets = {i: shingles(t, k) for i, t in rows}
-    ids = [i for i in sets if i is not None]
-    pairs = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    want = components(pairs, ids)
-    assert got == {i: (len(sets[i]), want.get(i)) for i in sets}
-    assert any(want[i] != i for i in ids)
-    kept = jaccard_join.ngram_dedup(frame(spark, rows), n=k, similar=(num, 100))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in ids if want[i] == i)
+    # ids that repeat: with other texts, with near copies, as whole rows, in other case
+    texts = dict(rows)
+    rows += [(11, texts[15]), (12, "lone words that nobody else has at all here"), (12, texts[11]), (17, texts[17].upper()), (200, texts[200]), (200, texts[200]), (3, texts[11])]
+    want, at = row_components(rows, k, num)
+    assert ordered(jaccard_join.ngram_components(frame(spark, rows, False), n=k, similar=(num, 100)).collect()) == ordered(want)
+    assert any(c != i for i, _, c in want)
+    groups = {}
+    for r, root in at.items():
+        groups.setdefault(root, []).append(r)
+    kept = jaccard_join.ngram_dedup(frame(spark, rows).withColumnsRenamed({"_text": "_gone", "n": "_key"}), n=k, similar=(num, 100))
+    assert kept.columns == ["doc_id", "text", "_id", "_key", "_gone"]
+    got = ordered((r.doc_id, r.text) for r in kept.collect())
+    assert len(got) == len(groups) and set(got) <= set(rows)
+    for members in groups.values():
+        least = min((rows[r][0] for r in members if rows[r][0] is not None), default=None)
+        assert sum((rows[r][0], rows[r][1]) in got for r in members) >= 1 and any((least, rows[r][1]) in got for r in members)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([(90, 100), (80, 100), (60, 100)]), st.randoms(use_true_random=False))
+def test_similar_sets_share_a_block(n, more, fewer, similar, rng):
+    import numpy as np
+
+    order = np.array(rng.sample(range(1 << 40), n + more), np.uint64)
+    a, b = order[min(fewer, n - 1) : n], np.sort(order)[:]
+    a, b = np.sort(a), np.sort(b)
+    same = len(np.intersect1d(a, b))
+    starts = jaccard_join.size_ranges(similar)
+    meet = set(jaccard_join.block_keys(a, similar, starts).tolist()) & set(jaccard_join.block_keys(b, similar, starts).tolist())
+    if same * similar[1] >= similar[0] * (len(a) + len(b) - same):
+        assert meet
 
 
 @pytest.mark.parametrize("limit", [None, 1, 3])
