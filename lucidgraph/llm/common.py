@@ -10,7 +10,7 @@ from functools import reduce, wraps
 import numpy as np
 import pandas as pd
 import pyarrow
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A bit filter never grows beyond this, whatever the input: 2**28 bits are 32 MB.
@@ -48,6 +48,13 @@ def staged(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As staged, with the number of rows, counted while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that no result reads any more."""
     for t in tables:

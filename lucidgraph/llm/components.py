@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import attach_groups, discard, staged
+from lucidgraph.llm.common import attach_groups, counted, discard, staged
 
 
 def _star(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -20,18 +20,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is the smallest node of the component. Edges in both directions, loops and repeats do no harm, and
     without edges there are no rows. Tables of earlier rounds are deleted.
     """
-    now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first()
-        if (n, mark) == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = (n, mark)
+    now, n = counted(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _is_done(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, least = _star(both, 2 * n)
-        large = staged(large.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct(), "edges")
+        large, m = counted(large.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct(), "edges")
         discard(now, least)
-        small, least = _star(large, large.count())
+        small, least = _star(large, m)
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.*")
-        now = staged(small.filter("u <> v").distinct(), "edges")
+        now, n = counted(small.filter("u <> v").distinct(), "edges")
         discard(large, least)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _is_done(edges: DataFrame) -> bool:
+    """Whether each u > v has one edge and no v is a u: then each component is a star around its smallest node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    uses = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return uses.filter("up > 1 or up > 0 and down > 0").limit(1).count() == 0
