@@ -8,10 +8,13 @@ the smallest doc_id of each is found. Super-k-mers of minimisers that very many
 which are counted where they are and summed by key. Of windows that are very frequent themselves the smallest
 doc_id is known by then, so they are judged at home; the others travel one by one, each to the bucket of its own
 hash. A window that also starts in a document with a smaller doc_id marks its words; marked words are removed
-when all windows have been judged.
+when all windows have been judged. Only documents with marked words meet their marks in a shuffle; the others, told
+by a filter, pass straight through.
 
 Defined cases: a null text has no words. A document with a null doc_id is kept whole and removes nothing. Rows that
-repeat a doc_id don't remove each other's words. A text of fewer than K words is kept whole.
+repeat a doc_id don't remove each other's words. A text of fewer than K words is kept whole. Texts may be of any
+length; one word over and over makes one long super-k-mer, whose windows are ranked without being written out. An
+empty table gives no rows. Other columns, whatever their names, are carried along untouched.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import bits_at, collected_bits, filter_bits, hot_limit, staged, table, whole_groups
+from lucidgraph.llm.common import BitFilter, bits_at, collected_bits, column, counted, discard, filter_bits, hot_limit, lean, small_batches, staged, table, whole_groups, whole_row
 
 #: Words in a window and in the pieces whose smallest hash is its minimiser.
 K, M = 13, 5
@@ -84,6 +87,7 @@ def _words(text) -> list[bytes]:
     return text.encode().split() if isinstance(text, str) else []
 
 
+@lean
 def _minimisers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = [super_kmers(_words(t))[0] for t in b["_text"]]
@@ -101,44 +105,57 @@ def _ranges(starts: list[int], width: int) -> list[tuple[int, int]]:
     return out
 
 
+def window_ranks(words: list[bytes], k: int) -> np.ndarray:
+    """A number for each k consecutive words, equal where the words are: ranks of 1, 2, 4 ... words are paired and
+    sorted, so that no window is written out."""
+    known: dict[bytes, int] = {}
+    rank = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    have = 1
+    while have < k:
+        step = min(have, k - have)
+        pair = rank[: len(rank) - step] * (rank.max() + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        have += step
+    return rank
+
+
 def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """rows: whole minimiser groups of _id, _key, at, packed. Ranges of words that a smaller id has too.
 
     Rows with an end are ranges already.
     """
-    ready = rows[rows["end"] >= 0]
+    ready = rows[rows["end"] >= 0][["_id", "_key", "at", "end"]].rename(columns={"at": "first"})
     rows = rows[rows["end"] < 0]
     minis = rows["mini"].to_numpy()
     again = minis[1:] == minis[:-1]
     rows = rows[np.append(again, False) | np.append(False, again)] if len(rows) else rows  # a minimiser alone came by chance of the filter
-    ids = rows["_id"].tolist()
-    windows: list[bytes] = []
-    owner: list[int] = []
-    place: list[int] = []
-    for r, (packed, at) in enumerate(zip(rows["packed"], rows["at"], strict=True)):
-        words = packed.split(b" ")
-        n = len(words) - k + 1
-        windows += [b" ".join(words[i : i + k]) for i in range(n)]
-        owner += [r] * n
-        place += range(at, at + n)
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    marked: dict[int, list[int]] = {}
-    i = 0
-    while i < len(order):
-        j, window = i + 1, windows[order[i]]
-        while j < len(order) and windows[order[j]] == window:
-            j += 1
-        if j > i + 1:
-            same = order[i:j]
-            least = min(ids[owner[x]] for x in same)
-            for x in same:
-                if ids[owner[x]] > least:
-                    marked.setdefault(owner[x], []).append(place[x])
-        i = j
-    out = [(r, *span) for r, starts in marked.items() for span in _ranges(sorted(starts), k)]
-    at = [r for r, _, _ in out]
-    found = pd.DataFrame({"_id": rows["_id"].iloc[at].to_numpy(), "_key": rows["_key"].iloc[at].to_numpy(), "first": np.array([a for _, a, _ in out], np.int64), "end": np.array([e for _, _, e in out], np.int64)})
-    return pd.concat([found, ready[["_id", "_key", "at", "end"]].rename(columns={"at": "first"})], ignore_index=True) if len(ready) else found
+    if not len(rows):
+        return ready
+    split = [p.split(b" ") for p in rows["packed"]]
+    lengths = np.array([len(w) for w in split])
+    words = [w for part in split for w in part]
+    del split
+    # windows that start in a row and end in the next are none
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    starts = np.flatnonzero(place <= lengths[owner] - k)
+    rank = window_ranks(words, k)[starts]
+    del words
+    ids, order = rows["_id"].to_numpy(), np.argsort(rank, kind="stable")
+    owner, place, rank = owner[starts][order], place[starts][order], rank[order]
+    first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+    least = np.minimum.reduceat(ids[owner], first)
+    marked = ids[owner] > np.repeat(least, np.diff(np.append(first, len(rank))))
+    owner, place = owner[marked], place[marked]
+    if not len(owner):
+        return ready
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    cut = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + k))
+    begin, end = np.flatnonzero(cut), np.append(np.flatnonzero(cut)[1:], len(owner)) - 1
+    at = rows["at"].to_numpy()[owner[begin]]
+    found = pd.DataFrame({"_id": ids[owner[begin]], "_key": rows["_key"].to_numpy()[owner[begin]], "first": at + place[begin], "end": at + place[end] + k})
+    return pd.concat([found, ready], ignore_index=True) if len(ready) else found
 
 
 def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
@@ -154,6 +171,7 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
     hot = [r[0] for r in repeated.filter(F.col("n") > hot_limit(n)).select("mini").collect()]  # fewer than MAX_HOT
     shared_hot = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
 
+    @lean
     def count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows of hot minimisers: how many, and the smallest id, of those read together."""
         heavy, seen = shared_hot.value, {}
@@ -183,6 +201,7 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
         judged = {bytes(r[0]): r[1] for r in windows.filter(F.col("n") > limit).select("window", "least").collect()}  # fewer than MAX_HOT
     shared_judged = spark.sparkContext.broadcast(judged)
 
+    @lean
     def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, heavy, least = shared.value, shared_hot.value, shared_judged.value
         for whole in batches:
@@ -213,6 +232,7 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
     moved = usable.mapInPandas(travel, f"_id {kind}, _key long, mini long, at long, packed binary, end long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
+    @lean
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, "mini"):
             yield _judge(b, k)
@@ -221,11 +241,16 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """docs with _ranges: the ranges of words to remove, or null."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    found = repeated_ranges(keyed.select(F.col(id_col).alias("_id"), "_key", F.col(text_col).alias("_text")), k)
+    """docs as _row, with _text and _ranges: the ranges of words to remove, or null."""
+    small_batches(docs.sparkSession)
+    keyed = docs.select(whole_row(docs).alias("_row"), column(id_col).alias("_id"), F.xxhash64(column(id_col), column(text_col)).alias("_key"), column(text_col).alias("_text"))
+    found = repeated_ranges(keyed.select("_id", "_key", "_text"), k)
     ranges = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("first", "end")).alias("_ranges")).withColumnsRenamed({"_id": "_rid", "_key": "_rkey"})
-    return keyed.join(ranges, (F.col(id_col) == F.col("_rid")) & (F.col("_key") == F.col("_rkey")), "left").drop("_key", "_rid", "_rkey")
+    ranges, n = counted(ranges, "ranges")
+    marked = BitFilter(ranges.select(F.col("_rkey").alias("key")), n).mark(keyed, F.col("_key"))
+    joined = marked.filter("_maybe").join(ranges, (F.col("_id") == F.col("_rid")) & (F.col("_key") == F.col("_rkey")), "left")
+    rest = marked.filter("not _maybe").withColumn("_ranges", F.lit(None).cast(ranges.schema["_ranges"].dataType))
+    return rest.select("_row", "_text", "_ranges").unionByName(joined.select("_row", "_text", "_ranges"))
 
 
 def kept_words(words: list[bytes], ranges) -> list[bytes]:
@@ -235,18 +260,18 @@ def kept_words(words: list[bytes], ranges) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
+def _left_text(text: pd.Series, ranges: pd.Series) -> pd.Series:
+    return pd.Series([b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(text, ranges, strict=True)], dtype=object)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """docs with what is left of each text. Texts without a removed word are untouched, the words of others are
     joined by one space; documents of which nothing is left are dropped."""
     marked = marked_documents(docs, id_col, text_col, k)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ranges = b.pop("_ranges")
-            b[text_col] = [t if r is None else b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(b[text_col], ranges, strict=True)]
-            yield b[ranges.isna() | (b[text_col] != "")]
-
-    return marked.mapInPandas(run, docs.schema)
+    left_text = F.pandas_udf(_left_text, "string")
+    left = marked.filter("_ranges is not null").select("_row", left_text("_text", "_ranges").alias("_text")).filter("_text <> ''")
+    whole = marked.filter("_ranges is null").select("_row", "_text").unionByName(left)
+    return whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +288,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "n_removed": removed, "kept_sha256": kept})
 
-    return marked_documents(docs).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked = marked_documents(docs).select(F.col("_row.doc_id").alias("doc_id"), F.col("_text").alias("text"), "_ranges")
+    return marked.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP8_SQL = r"""

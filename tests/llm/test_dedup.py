@@ -161,11 +161,13 @@ def test_substrings(spark, monkeypatch, limit):
             if i is not None and first[tuple(w[a : a + 13])] < i:
                 keep[a : a + 13] = [False] * 13
         want[i] = b" ".join(x for x, k in zip(w, keep, strict=True) if k)
-    docs = frame(spark, rows).drop("_id", "_text")
-    marked = substring_dedup.marked_documents(docs).collect()
+    docs = frame(spark, rows).selectExpr("*", "1 as _key", "2 as _ranges", "3 as _rid", "4 as _row")
+    marked = substring_dedup.marked_documents(docs).selectExpr("_row.doc_id", "_ranges").collect()
     got = {r.doc_id: b" ".join(split[r.doc_id] if r._ranges is None else substring_dedup.kept_words(split[r.doc_id], r._ranges)) for r in marked}
     assert got == want and len(marked) == len(rows)
-    left = {r.doc_id: r.text for r in substring_dedup.substring_dedup(docs).collect()}
+    cleaned = substring_dedup.substring_dedup(docs)
+    assert cleaned.columns == docs.columns
+    left = {r.doc_id: r.text for r in cleaned.collect()}
     for i, t in rows:
         if want[i] == b" ".join(split[i]):
             assert left[i] == t
@@ -173,6 +175,20 @@ def test_substrings(spark, monkeypatch, limit):
             assert left.get(i, "").encode() == want[i]
 
 
+def test_windows_of_one_word_over_and_over():
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(2)
+    words = [rng.choice([b"a", b"b"]) for _ in range(400)]
+    ranks = substring_dedup.window_ranks(words, 13)
+    spelled = [tuple(words[i : i + 13]) for i in range(388)]
+    assert all((ranks[i] == ranks[j]) == (spelled[i] == spelled[j]) for i in range(388) for j in range(i))
+    rows = pd.DataFrame({"_id": [4, 3, 4], "_key": [40, 30, 41], "mini": [7, 7, 7], "at": [5, 0, 9], "packed": [b" ".join([b"x"] * 300_000), b" ".join([b"x"] * 13), b" ".join([b"y"] * 13)], "end": [-1, -1, -1]})
+    assert substring_dedup._judge(rows, 13).to_numpy().tolist() == [[4, 40, 5, 300_005]]
+    assert np.unique(substring_dedup.window_ranks([b"x"] * 300_000, 13)).size == 1
+
+
 def test_embeddings(spark):
     import numpy as np
 
