@@ -1,32 +1,35 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. A line weighs as many characters as it has outside
-links, or nothing where the markup says that it is no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments; all that lies outside <article> or <main> where the page has one). The weights of WINDOW
-lines from each line on are summed; a surge point is where the sum rises to the threshold, a dive point where it
-falls to nothing. All stretches between them are kept, each from its first to its last line of any weight. Where no
-sum rises to the threshold, any weight makes a surge. Where the page has <article> or <main>, these alone decide.
-
-Defined cases: null html is empty text; malformed markup is read as far as it goes; a page without any line of
-article text gives an empty string.
+links. Markup only sets weights: where the page names its article (<article> or <main>), each character in it weighs
+SURGE and what lies outside weighs nothing; lines that the markup says are no article text (menus, headers, footers,
+sidebars, notices, adverts, forms, comments, nested teaser articles) weigh nothing and are never kept. The weights of
+WINDOW lines from each line on are summed; a surge point is where the sum rises to the threshold SURGE, a dive point
+where it falls to nothing. All stretches between them are kept, each from its first to its last line of any weight.
+Where no sum of a page rises to SURGE, any weight makes a surge.
+
+Defined cases: null html is empty text; malformed markup is read as far as it goes, to any depth and length; a page
+without any line of article text gives an empty string. Stretches of equal weight are all kept. Rows that repeat are
+extracted one by one; an empty table gives no rows. Other columns, whatever their names, are carried along untouched,
+but for html, text and n_chars, in whose place the results stand.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import table
+from lucidgraph.llm.common import column, small_batches, table
 
 #: Lines in a window, and the characters in a window that make a surge where the page names no article.
 WINDOW, SURGE = 3, 80
-#: Elements open at once; those nested deeper are read as if their tags weren't there.
-MAX_DEPTH = 512
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -41,7 +44,23 @@ _HOME = frozenset(("article", "main"))
 _HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus reply replies respond social share sharing related recommended recommendations newsletter subscribe subscription signup login search toolbar widget pagination pager legal copyright disclaimer complementary contentinfo".split()
 )
+#: Hints that count only where a name ends in them: "legal-analysis" is no legal notice.
+_WEAK = frozenset("legal notice notices search copyright disclaimer login signup toolbar widget social share sharing related promotion promo banner consent reply replies respond menu modal overlay header".split())
 _TALK = frozenset("comment comments disqus reply replies respond".split())
+#: Words that say nothing about what an element holds, and words of the article itself, whose header is no site header.
+_PLAIN = frozenset("wrapper wrap container box block area section inner outer row col column list item group panel top bottom left right main".split())
+_ARTICLE = frozenset("article post entry story content page".split())
+
+
+@lru_cache(1 << 16)
+def _hinted(name: str) -> tuple[bool, bool, bool]:
+    """Of one class, id or role: whether it names comments, something beside the article, a site header."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    told = [w for w in words if w not in _PLAIN] or words
+    last = told[-1:]
+    talk = any(w in _TALK and (w not in _WEAK or [w] == last) for w in told)
+    beside = any(w in _HINTS and (w not in _WEAK or [w] == last) for w in told)
+    return talk, beside, last == ["header"] and not _ARTICLE & set(words)
 
 
 def _kind(tag: str, attrs: str, at_home: bool) -> int:
@@ -55,10 +74,10 @@ def _kind(tag: str, attrs: str, at_home: bool) -> int:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return 2
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & _TALK:
+            talk, beside, header = (any(x) for x in zip(*map(_hinted, value.split()), strict=True)) if value.split() else (False, False, False)
+            if talk or beside and at_home and tag in _HOME:
                 return 2
-            if words & _HINTS and tag not in _HOME or "header" in words and not at_home:
+            if beside and tag not in _HOME or header and not at_home:
                 return 1
     return 0
 
@@ -68,32 +87,27 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     words: list[str] = []
     linked = 0
-    open_: list[tuple[str, int]] = []  # elements with their kinds
-    home = links = bad = 0
+    # Open elements: tag; whether in an article; whether of kind 2, or of kind 1 since the article began; links around.
+    open_: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    count: Counter[str] = Counter()
 
     def end_line() -> None:
         nonlocal linked
         if words:
             text = " ".join(unescape("".join(words)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), not bad, home > 0))
+                _, home, never, hinted, _ = open_[-1]
+                lines.append((text, max(0, len(text) - linked), not (never or hinted), home))
             words.clear()
         linked = 0
 
-    def state() -> None:
-        nonlocal home, bad, links
-        start = max((i for i, (t, _) in enumerate(open_) if t in _HOME), default=-1)
-        home = start + 1
-        bad = any(k == 2 or k == 1 and i > start for i, (_, k) in enumerate(open_))
-        links = sum(t == "a" for t, _ in open_)
-
     at, size = 0, len(html)
     while at < size:
         m = _MARK.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
             words.append(text)
-            if links:
+            if open_[-1][4]:
                 linked += len(text.strip())
         if not m:
             break
@@ -105,40 +119,44 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag not in _INLINE:
             end_line()
         if closing:
-            if any(t == tag for t, _ in open_):
-                while open_.pop()[0] != tag:
-                    pass
-                state()
+            if count[tag]:
+                while True:
+                    last = open_.pop()[0]
+                    count[last] -= 1
+                    if last == tag:
+                        break
         elif tag in _RAW:
             end = _RAW[tag].search(html, at)
             at = end.end() if end else size
         elif tag not in _VOID and not (m[3] or "").endswith("/"):
-            if tag in ("p", "li") and open_ and open_[-1][0] == tag:
+            if tag in ("p", "li") and open_[-1][0] == tag:
                 open_.pop()
+                count[tag] -= 1
             if tag not in _INLINE or tag == "a" or m[3]:
-                if tag == "a" and any(t == "a" for t, _ in open_):
-                    continue
-                if len(open_) == MAX_DEPTH:
+                if tag == "a" and count["a"]:
                     continue
-                open_.append((tag, _kind(tag, m[3] or "", home > 0)))
-                state()
+                _, home, never, hinted, links = open_[-1]
+                kind = _kind(tag, m[3] or "", home)
+                starts = tag in _HOME
+                open_.append((tag, home or starts, never or kind == 2, not starts and (hinted or kind == 1), links + (tag == "a")))
+                count[tag] += 1
     end_line()
     return lines
 
 
+def line_weights(lines: list[tuple[str, int, bool, bool]], surge: int) -> list[int]:
+    named = any(fit and inside for _, _, fit, inside in lines)
+    return [fit * (inside * len(text) * surge if named else chars) for text, chars, fit, inside in lines]
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = page_lines(html or "")
-    keep = [fit for _, _, fit, _ in lines]
-    if any(fit and inside for _, _, fit, inside in lines):
-        # The page says where its article is: any character makes the surge, and no gap within it makes a dive.
-        keep = [fit and inside for _, _, fit, inside in lines]
-        weights, surge, window = [len(text) * k for (text, _, _, _), k in zip(lines, keep, strict=True)], 1, len(lines)
-    else:
-        weights = [weight * k for (_, weight, _, _), k in zip(lines, keep, strict=True)]
+    weights = line_weights(lines, surge)
     upto = [0, *accumulate(weights)]
     sums = [upto[min(i + window, len(weights))] - upto[i] for i in range(len(weights))]
     if max(sums, default=0) < surge:
         surge = 1
+    named = any(fit and inside for _, _, fit, inside in lines)
     kept: list[str] = []
     i = 0
     while i < len(sums):
@@ -149,22 +167,20 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         while i < len(sums) and sums[i] > 0:
             i += 1
         weighty = [k for k in range(start, i) if weights[k]]
-        kept += [lines[k][0] for k in range(weighty[0], weighty[-1] + 1) if keep[k]]
+        kept += [lines[k][0] for k in range(weighty[0], weighty[-1] + 1) if lines[k][2] and (weights[k] or not named)]
     return " ".join(kept)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text and n_chars in place of the html."""
-    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    source = pages.select(*[pages[c] for c in others], pages[html_col].alias("_html"))
-    schema = source.drop("_html").schema.add("text", "string").add("n_chars", "long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h) for h in b.pop("_html")]
-            yield b.assign(text=texts, n_chars=[len(t) for t in texts])
+    def texts(html: pd.Series) -> pd.Series:
+        return html.map(main_text, na_action=None).astype(object)
 
-    return source.mapInPandas(run, schema)
+    small_batches(pages.sparkSession)
+    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    rows = pages.select(F.struct(*[column(c) for c in others]).alias("_row") if others else F.lit(0).alias("_row"), F.pandas_udf(texts, "string")(column(html_col)).alias("_text"))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in others], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
