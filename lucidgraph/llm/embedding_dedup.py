@@ -12,7 +12,10 @@ Equal vectors of a label are found by hash first and searched once. Members of a
 CHUNK, so that no task holds a large group. Pairs are counted and joined where they are found, never written out.
 
 Defined cases: rows whose id, label or vector is null, or whose vector is zero or holds a null or a non-finite
-component, link with nothing. Vectors of different lengths are compared as if the shorter ended in zeros.
+component, link with nothing. Vectors of different lengths are compared as if the shorter ended in zeros. Rows that
+repeat an id count one by one, each by its own vector. Vectors may be of any length, the same
+for a third of all rows or near each other in one list: equal ones are one class, and members and queries of a list
+are both cut into chunks. An empty table gives no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import attach_groups, staged, table
+from lucidgraph.llm.common import MAX_HOT, attach_groups, column, counted, small_batches, staged, table
 from lucidgraph.llm.components import connected_components
 
 THRESHOLD = 0.93
 #: Vectors that the quantisers are fitted on at most; vectors a list should hold; lists at most; codewords a subspace.
 SAMPLE, LIST_SIZE, MAX_LISTS, CODES, SUBSPACES = 20_000, 128, 4096, 64, 8
-#: Members of a list in one task.
-CHUNK = 2048
+#: Members of a list, and queries, in one task.
+CHUNK, QUERIES = 1024, 2048
 
 
 def probe_margin(threshold: float) -> float:
@@ -190,11 +193,12 @@ def _compare(quantiser: Quantiser, dim: int, rows: pd.DataFrame, list_id: int, t
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row a vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    small_batches(spark)
     kind, label_kind = (vectors.schema[c].dataType.simpleString() for c in (id_col, label_col))
-    source = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"), F.col(label_col).alias("_label"))
+    source = vectors.select(column(id_col).alias("_id"), column(vec_col).alias("_vec"), column(label_col).alias("_label"))
     checked = staged(source.mapInPandas(_checked, f"_id {kind}, _label {label_kind}, raw binary, digest binary"), "vectors")
     valid = checked.filter("digest is not null and _id is not null")
-    classes = staged(valid.groupBy("digest").agg(F.min("_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("_label").alias("label")), "classes")
+    classes = staged(valid.groupBy("digest").agg(F.min("_id").alias("first"), F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("_label").alias("label")).withColumn("id", F.monotonically_increasing_id()), "classes")
     n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     alone = checked.filter("digest is null or _id is null")
     single = lambda df: df.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -217,27 +221,36 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 o, near = quantiser.places(_unit(b["raw"].iloc[at : at + 1024].tolist(), dim), margin)
                 own.append(o)
                 probes += [np.flatnonzero(row).astype(np.int32) for row in near]
-            yield b.drop(columns="digest").assign(own=np.concatenate(own).astype(np.int32), probes=probes)
+            yield b.drop(columns=["digest", "first"]).assign(own=np.concatenate(own).astype(np.int32), probes=probes)
 
-    placed = staged(classes.mapInPandas(place, f"id {kind}, n long, raw binary, label {label_kind}, own int, probes array<int>"), "placed")
-    sizes = placed.groupBy("label", F.col("own").alias("list")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    # Chunks matter only for large lists, of which there are at most n_classes / CHUNK.
-    large = F.broadcast(staged(sizes.filter("chunks > 1"), "chunks"))
+    placed = staged(classes.mapInPandas(place, f"n long, raw binary, label {label_kind}, id long, own int, probes array<int>"), "placed")
     members = placed.select("*", F.col("own").alias("list"), F.lit(0).alias("role"))
     queries = placed.select("*", F.explode("probes").alias("list"), F.lit(1).alias("role")).withColumn("probes", F.lit(None).cast("array<int>"))
-    members = members.join(large, ["label", "list"], "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1)).cast("long")).cast("int"))
-    queries = queries.join(large, ["label", "list"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    dealt = members.unionByName(queries).drop("chunks")
+    # Of a list, each chunk of members meets each chunk of queries in a task of its own.
+    sizes = placed.select("label", F.col("own").alias("list"), F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(placed.select("label", F.explode("probes").alias("list"), F.lit(0).alias("m"), F.lit(1).alias("q")))
+    sizes = sizes.groupBy("label", "list").agg(F.ceil(F.sum("m") / CHUNK).cast("int").alias("chunks"), F.ceil(F.sum("q") / QUERIES).cast("int").alias("q_chunks"))
+    sizes, n_lists = counted(sizes.filter("chunks > 1 or q_chunks > 1").withColumn("place", F.xxhash64("label", "list")).select("place", "chunks", "q_chunks"), "chunks")
+    # Few lists are as large as that: at most as many as probes by QUERIES and rows by CHUNK.
+    place_of = F.xxhash64("label", "list")
+    large = F.broadcast(sizes) if n_lists < MAX_HOT else sizes
+    cut = lambda df: df.withColumn("place", place_of).join(large, "place", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("q_chunks", F.coalesce("q_chunks", F.lit(1))).drop("place")
+    one = lambda chunks, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(chunks).cast("long")).cast("int")
+    each = lambda chunks: F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
+    members = cut(members).withColumn("chunk", one("chunks", 1)).withColumn("q_chunk", each("q_chunks"))
+    queries = cut(queries).withColumn("q_chunk", one("q_chunks", 2)).withColumn("chunk", each("chunks"))
+    dealt = members.unionByName(queries).drop("chunks", "q_chunks")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         quantiser, dim = shared.value
         return _compare(quantiser, dim, rows, int(key[1]), threshold)
 
-    found = staged(dealt.groupBy("label", "list", "chunk").applyInPandas(compare, f"id {kind}, links long, root {kind}"), "links")
+    found = staged(dealt.groupBy("label", "list", "chunk", "q_chunk").applyInPandas(compare, "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    summary = classes.select("digest", "id", "n").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    summary = staged(summary.select("digest", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "summary")
+    joined = classes.select("digest", "first", "id", "n").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    joined = staged(joined.select("digest", "first", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")), "joined")
+    least = staged(joined.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_classes")), "least")
+    summary = staged(attach_groups(joined, least, "component", "_classes", n_classes).select("digest", "n", "n_links", "component_id"), "summary")
     out = attach_groups(valid.select("_id", "digest"), summary, "digest", "n", n_rows)
     return out.select(F.col("_id").alias(id_col), "n_links", "component_id", (F.col("_id") == F.col("component_id")).alias("kept")).unionByName(single(alone))
 
