@@ -5,7 +5,9 @@ score, so that sentencepiece merges the pair of lowest rank first, as the rank f
 the identity. A text is split by the pattern; each match that is a token itself is that token, any other is
 merged by the model. Decoding maps each id back to its bytes.
 
-Defined cases: a null text counts as empty and has no ids; other columns are dropped unless asked for.
+Defined cases: a null text counts as empty and has no ids; texts may be of any length, and a match longer than
+CACHE_CHARS is merged without being kept; rows that repeat are encoded one by one; an empty table gives no rows. Of
+other columns, whatever their names, none is read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from lucidgraph.llm.common import table
+from lucidgraph.llm.common import small_batches, table, worker_cache
 
 #: Words, matches and decoded words kept in each Python worker, and the longest of them.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
@@ -175,20 +177,15 @@ class ByteBpe:
         return b"".join(self.bytes_of[str(i)] for i in ids)
 
 
-_CODECS: dict[str, ByteBpe] = {}
-
-
 def _codec(shared, key: str, pattern: str) -> ByteBpe:
     """One codec a Python worker."""
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = ByteBpe(shared.value, pattern)
-    return _CODECS[key]
+    return worker_cache(key, lambda: ByteBpe(shared.value, pattern))
 
 
 def _share(spark: SparkSession, path: str, pattern: str):
+    small_batches(spark)
     tokens = read_ranks(path)
-    key = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
+    key = "bytes-" + hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
     return spark.sparkContext.broadcast(tokens), key
 
 

@@ -9,7 +9,9 @@ shingles decide. A band cannot collide where no shingle of any template occurs,
 are passed over first.
 
 Defined cases: null texts and texts of fewer than N words match nothing. Rows that repeat an id, or have none, are
-reported together. Templates need at least N words. Other columns aren't read.
+reported together. Templates need at least N words; a text that holds several is reported for each, and of equal
+containments the largest is shown once. Texts may be of any length; an empty table gives no rows. Other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -5,11 +5,13 @@ are sequences of their own. The others are dealt by hash into blocks of about BL
 on its own: best-fit decreasing gives the first incumbent, then branch and bound goes through bins in order of
 their largest piece, enumerates the fillings around it, of any number of pieces, least waste first, without those
 that are seen to be dominated, prunes by the waste that an improvement may still have, and stops at the lower bound
-or after NODES nodes. The SPARE
-emptiest bins of each block are opened again and packed together in another round, until one block is left.
+or after NODES nodes. The SPARE emptiest bins of each block are opened again and packed together in another round,
+until one block is left.
 
 Defined cases: a null text counts as empty and is one piece of the end id; rows that repeat are packed one by one;
-an empty table gives an empty table. Columns of the documents other than id and text are not carried along.
+pieces of equal length are packed in any order; texts may be of any length, and only those longer than a sequence are
+cut; an empty table gives an empty table. Columns of the documents other than id and text are not carried along.
+Columns of pieces are, whatever their names, but for sequence_id and offset, in whose place the results stand.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import staged, table
+from lucidgraph.llm.common import column, lean, small_batches, staged, table, worker_cache
 
 LENGTH, END_ID = 4096, 1
 #: Pieces in a block, bins of a block that are packed again, and search nodes for a block.
@@ -102,20 +104,16 @@ class WordTokenizer:
         return b"".join(out)
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32 and, if asked for, ids."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    shared, key, end = docs.sparkSession.sparkContext.broadcast(definition), zlib.crc32(definition.encode()), end_id.to_bytes(4, "little")
+    shared, key, end = docs.sparkSession.sparkContext.broadcast(definition), f"words-{zlib.crc32(definition.encode())}", end_id.to_bytes(4, "little")
+    small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _TOKENIZERS:
-            _TOKENIZERS.clear()
-            _TOKENIZERS[key] = WordTokenizer(shared.value)
-        encode = _TOKENIZERS[key].encode
+        encode = worker_cache(key, lambda: WordTokenizer(shared.value)).encode
         for b in batches:
             rows = []
             for doc, text in zip(b["_id"], b["_text"], strict=True):
@@ -126,7 +124,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]).astype({"_id": b["_id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    out = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -331,9 +329,12 @@ def pack_sizes(sizes: list[int], length: int, nodes: int = NODES) -> list[list[i
 
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK, size_col: str = "length") -> DataFrame:
     """pieces with sequence_id and offset; each piece fits a sequence."""
-    columns = pieces.columns
-    pieces = staged(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    columns = [f"c{i}" for i in range(len(names))]  # so that none clashes with ours
+    size_col = columns[names.index(size_col)]
+    pieces = staged(pieces.select(*[column(c).alias(a) for c, a in zip(names, columns, strict=True)]).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("_again", "boolean")
+    named = lambda df: df.select(*[F.col(a).alias(c) for c, a in zip(names, columns, strict=True)], "sequence_id", "offset")
 
     def packer(round_: int, spare: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -361,11 +362,11 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK, siz
         n = rest.count()
         blocks = -(-n // block)
         if not blocks:
-            return out.drop("_row")
+            return named(out)
         dealt = rest.withColumn("_block", F.pmod(F.xxhash64("_row", F.lit(round_)), F.lit(blocks).cast("long")))
         packed = dealt.groupBy("_block").applyInPandas(packer(round_, SPARE if blocks > 1 else 0), schema)
         if blocks == 1:
-            return out.unionByName(packed.drop("_again")).drop("_row")
+            return named(out.unionByName(packed.drop("_again")))
         packed = staged(packed, "packed")
         out = out.unionByName(packed.filter("not _again").drop("_again"))
         rest, round_ = packed.filter("_again").select(*columns, "_row"), round_ + 1
