@@ -12,7 +12,10 @@ Training reads about TRAIN_DOCS documents of each language, chosen by a hash of
 lower case, and so is each text that is scored.
 
 Defined cases: a text that is null or has no letter is "und" with score 0, as is every text where nothing could be
-learned. Rows without id, text or language aren't learned from. A null id is not held out.
+learned. Rows without id, text or language aren't learned from. A null id is not held out. Of languages with codes of
+equal length the first by name is predicted. Texts may be of any length: they are scored SEGMENT bytes at a time. Rows
+that repeat are scored one by one; an empty table gives no rows. Other columns, whatever their names, are carried along
+untouched, but for those whose names the results take.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import table
+from lucidgraph.llm.common import column, lean, small_batches, table, whole_row
 
 #: Longest context in bytes; documents learned from for each language.
 ORDER, TRAIN_DOCS = 3, 2500
@@ -58,6 +61,7 @@ def _grams(data: bytes) -> np.ndarray:
 def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """lang, gram, seen: over whole texts."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang", sort=False)["text"]:
@@ -139,6 +143,7 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
     n = len(known) + 1  # the last symbol is any other byte
     symbol = np.full(256, n - 1, dtype=np.int64)
     symbol[known] = np.arange(len(known))
+    bytes_of = np.append(np.ones(n - 1), 256 - len(known))  # that a symbol stands for
 
     grams = {}
     for lang in langs:
@@ -188,7 +193,7 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
             total = table_.sum(axis=1, keepdims=True)
             kinds = (table_ > 0).sum(axis=1, keepdims=True)
             rest = np.where(table_ > 0, 0, low)
-            left = np.maximum(rest.sum(axis=1, keepdims=True), 1e-12) if order else np.maximum(1 - (kinds / 256), 1e-12)
+            left = np.maximum(rest @ bytes_of, 1e-12)[:, None] if order else np.maximum(1 - (kinds / 256), 1e-12)
             prob = np.where(table_ > 0, table_ / (total + kinds), rest / left * (kinds / (total + kinds)))
             lengths.append(-np.log2(np.maximum(prob, 1e-12)).astype(np.float32).ravel())
             below, shorter = prob, contexts[mine]
@@ -207,11 +212,13 @@ def fit_tables(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> PpmModel | None:
     """Learns from the folds that are not held out; None where there is nothing to learn from."""
-    usable = docs.filter((fold_of(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = usable.groupBy(lang_col).agg(F.count("*").alias("_size"))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(77)), F.lit(1_000_000).cast("long")) / 1_000_000
-    sample = usable.join(F.broadcast(sizes), lang_col).filter(chance < F.lit(train_docs) / F.col("_size"))
-    got = count_grams(sample, text_col, lang_col).toArrow().to_pandas()
+    small_batches(docs.sparkSession)
+    named = docs.select(column(id_col).alias("id"), column(lang_col).alias("lang"), column(text_col).alias("text"))
+    usable = named.filter((fold_of("id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))  # one row a language
+    chance = F.pmod(F.xxhash64(F.col("id"), F.lit(77)), F.lit(1_000_000).cast("long")) / 1_000_000
+    sample = usable.join(F.broadcast(sizes), "lang").filter(chance < F.lit(train_docs) / F.col("size"))
+    got = count_grams(sample, "text", "lang").toArrow().to_pandas()
     counts = {lang: (part["gram"].to_numpy(), part["seen"].to_numpy()) for lang, part in got.groupby("lang")}
     return fit_tables(counts) if counts else None
 
@@ -230,18 +237,16 @@ def identify(model: PpmModel | None, texts: list[str | None]) -> tuple[list[str]
 
 def predict_languages(docs: DataFrame, model: PpmModel | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", keep_text: bool = True) -> DataFrame:
     """docs with two more columns, with or without the text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if keep_text or c != text_col]
-    schema = docs.select(*kept).schema.add(pred_col, "string").add(score_col, "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            langs, scores = identify(shared.value, [t if isinstance(t, str) else None for t in b[text_col]])
-            b = b[kept].copy()
-            b[pred_col], b[score_col] = langs, scores
-            yield b
+    def found(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = identify(shared.value, [t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.mapInPandas(run, schema)
+    kept = [c for c in docs.columns if c not in (pred_col, score_col) and (keep_text or c != text_col)]
+    rows = docs.select(whole_row(docs.select(*map(column, kept))).alias("_row"), F.pandas_udf(found, "lang string, score double")(column(text_col)).alias("_found"))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_found.lang").alias(pred_col), F.col("_found.score").alias(score_col))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
