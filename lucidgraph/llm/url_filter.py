@@ -1,13 +1,16 @@
 """URL filtering: fixed rules first, else the empirical-Bayes reputation of the host.
 
 Labelled page outcomes (bad or not) are counted by host. The bad rate is shrunk through beta-binomial priors,
-from all pages to the suffix (last label of the host), to the registered domain (last two labels), to the host:
-each level takes its parent's posterior mean as prior mean, with a strength fitted at that level by moments. A
-host is blocked when the lower bound of its posterior, mean - z * sd, is above a threshold.
+from all pages to the suffix (last label of the host, or the last two where the last but one is a word of SECOND under
+a country code), to the registered domain (one label more), to the host: each level takes its parent's posterior mean
+as prior mean, with a strength fitted at that level by moments, or the weakest one where none can be fitted. A host is
+blocked when it has outcomes and the lower bound of its posterior, mean - z * sd, is above a threshold.
 
 Defined cases: a url that is null or has no "://" has empty host and path and its own (empty) host group; pages
-without outcome only lack weight; repeated labels of a page count once, as bad if one is bad. Rules are
-(verdict, host, path); of the rules that fit, the longest host + path wins, and of equally long ones the first.
+without outcome only lack weight; repeated labels of a page count once, as bad if one is bad; pages that repeat are
+judged one by one, and each counts. Rules are (verdict, host, path); of the rules that fit, the longest host + path
+wins, and of equally long ones the first. Urls may be of any length; empty tables give no rows; other columns aren't
+read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from lucidgraph.llm.common import attach_groups, staged, table
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: z of the posterior bound and the bad rate it must exceed; limits of a level's prior strength.
 Z, WORST, STRENGTH = 1.645, 0.5, (1.0, 1000.0)
+#: Words under a country code that are suffixes with it. Fixed values.
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,16 +53,18 @@ def _strength(bad: Column, n: Column) -> Column:
     noise = mean * (1 - mean)
     between = (spread - (F.count(n) - 1) * noise) / (total - F.sum(n * n) / total)
     low, high = (F.lit(x) for x in STRENGTH)
-    fitted = F.when((noise <= 0) | (total - F.sum(n * n) / total <= 0) | (between <= 0), high).otherwise(noise / between - 1)
-    return F.greatest(low, F.least(high, F.coalesce(fitted, high)))
+    # rates that vary no more than by chance fit the strongest prior; one unit, or rates all 0 or all 1, fit none
+    fitted = F.when((noise <= 0) | (total - F.sum(n * n) / total <= 0), low).when(between <= 0, high).otherwise(noise / between - 1)
+    return F.greatest(low, F.least(high, F.coalesce(fitted, low)))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: host, bad (0, 1 or null). One row a host: host, n, mean, bound."""
     counts = outcomes.groupBy("host").agg(F.sum(F.coalesce(F.col("bad"), F.lit(0))).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"))
     parts = F.split("host", r"\.")
-    domain = F.when(F.size(parts) > 2, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("host"))
-    hosts = staged(counts.withColumn("domain", domain).withColumn("suffix", F.element_at(parts, -1)), "hosts")
+    labels = F.when(F.col("host").rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$"), 2).otherwise(1)
+    last = lambda n: F.when(F.size(parts) > n, F.concat_ws(".", F.slice(parts, F.size(parts) - n + 1, n))).otherwise(F.col("host"))
+    hosts = staged(counts.withColumn("domain", last(labels + 1)).withColumn("suffix", last(labels)), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("units"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.countDistinct("domain").alias("units"))
     strength = lambda level: level.filter("n > 0").agg(_strength(F.col("bad"), F.col("n")).alias("s"))
@@ -81,7 +88,7 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, s
     labels = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = seen.select("page_id", "host").join(labels.filter("page_id is not null"), "page_id", "left")
     per_host = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    hosts = staged(host_reputation(known).join(per_host, "host").select("host", "pages", (F.col("bound") > worst).alias("_bad")), "reputation")
+    hosts = staged(host_reputation(known).join(per_host, "host").select("host", "pages", ((F.col("n") > 0) & (F.col("bound") > worst)).alias("_bad")), "reputation")
     judged = attach_groups(seen, hosts, "host", "pages", pages.count())
     found = rule_of(F.col("host"), F.col("path"), rules)
     return judged.withColumn("_rule", found).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.rule_verdict"), F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"))
@@ -107,9 +114,10 @@ WITH seen AS (
   SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END) AS bad
   FROM labels GROUP BY doc_id
 ), hosts AS (
-  SELECT host, CASE WHEN len(string_split(host, '.')) > 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain,
-         string_split(host, '.')[-1] AS suffix, sum(coalesce(bad, 0))::DOUBLE AS bad, count(bad)::DOUBLE AS n
-  FROM seen LEFT JOIN outcome USING (page_id) GROUP BY host
+  SELECT host, array_to_string(labels[-k - 1:], '.') AS domain, array_to_string(labels[-k:], '.') AS suffix, bad, n
+  FROM (SELECT host, string_split(host, '.') AS labels, CASE WHEN regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') THEN 2 ELSE 1 END AS k,
+          sum(coalesce(bad, 0))::DOUBLE AS bad, count(bad)::DOUBLE AS n
+        FROM seen LEFT JOIN outcome USING (page_id) GROUP BY host)
 ), domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
 units AS (
@@ -121,15 +129,15 @@ units AS (
          count(n) AS units, sum(n) - sum(n * n) / sum(n) AS free
   FROM units GROUP BY level
 ), strengths AS (
-  SELECT level, greatest(1.0, least(1000.0, CASE WHEN mean * (1 - mean) <= 0 OR free <= 0 OR spread - (units - 1) * mean * (1 - mean) <= 0
+  SELECT level, greatest(1.0, least(1000.0, CASE WHEN mean * (1 - mean) <= 0 OR free <= 0 THEN 1.0 WHEN spread - (units - 1) * mean * (1 - mean) <= 0
     THEN 1000.0 ELSE mean * (1 - mean) / ((spread - (units - 1) * mean * (1 - mean)) / free) - 1 END)) AS s FROM moments
 ), p0 AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS mean FROM hosts),
 p1 AS (SELECT suffix, (bad + s * (SELECT mean FROM p0)) / (n + s) AS prior FROM suffixes, (SELECT s FROM strengths WHERE level = 'suffix')),
 p2 AS (SELECT domain, (bad + s * prior) / (n + s) AS prior FROM domains JOIN p1 USING (suffix), (SELECT s FROM strengths WHERE level = 'domain')),
 p3 AS (
-  SELECT host, bad + s * prior AS a, n - bad + s * (1 - prior) AS b
+  SELECT host, n, bad + s * prior AS a, n - bad + s * (1 - prior) AS b
   FROM hosts JOIN p2 USING (domain), (SELECT s FROM strengths WHERE level = 'host')
-), reputation AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS bad FROM p3),
+), reputation AS (SELECT host, n > 0 AND a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS bad FROM p3),
 rules(verdict, site, prefix) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 matched AS (
   SELECT host, path, arg_max(site || prefix, length(site || prefix)) AS rule, arg_max(verdict, length(site || prefix)) AS rule_verdict

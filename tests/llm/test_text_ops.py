@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -117,9 +118,74 @@ def test_packing(spark, block):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert list(g["offset"]) == list(g["length"].cumsum() - g["length"]) and g["length"].sum() <= 64
     assert got.sequence_id.nunique() <= got["length"].sum() / 64 * 1.1 + 3
+    clash = packing.pack_pieces(pieces.selectExpr("doc_id", "length as size", "'o' as offset", "'r' as _row", "'b' as _block", "'a' as _again", "1 as sequence_id", "2 as c0"), length=64, block=block, size_col="size")
+    assert clash.columns == ["doc_id", "size", "_row", "_block", "_again", "c0", "sequence_id", "offset"] and clash.filter("_row = 'r' and _block = 'b' and c0 = 2").count() == len(got)
     assert packing.pack_pieces(packing.tokenized_pieces(docs.limit(0), WORDS, length=64), length=64).count() == 0
 
 
+def test_packing_query(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    texts = [None, "", "a", "x " * 9000, "one two three", "one two three", "Ünï 漢字 " * 700] + [" ".join(rng.choice(["alpha", "beta's", "9 8"]) for _ in range(rng.randrange(2500))) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op4_best_fit_packing(spark, str(tmp_path)).toPandas()
+    whole = Tokenizer.from_file(WORDS)
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        cut = [ids[at : at + 4096] for at in range(0, len(ids), 4096)]
+        mine = got[got.doc_id == i].sort_values("piece")
+        assert mine[["piece", "start", "length", "ids_crc32"]].to_numpy().tolist() == [[k, 4096 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())] for k, c in enumerate(cut)]
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 4096
+    assert got.sequence_id.nunique() <= len(packing.best_fit(got["length"].tolist(), 4096))
+
+
+class PlainPpm:
+    """The same statistics without tables: counts by context, escapes and exclusions worked out for each byte."""
+
+    def __init__(self, texts):
+        self.seen = [{} for _ in range(4)]
+        for t in texts:
+            t = b"\n\n\n" + t
+            for i in range(3, len(t)):
+                for o in range(4):
+                    self.seen[o].setdefault(t[i - o : i], {}).setdefault(t[i], 0)
+                    self.seen[o][t[i - o : i]][t[i]] += 1
+
+    def probability(self, context, byte, order):
+        if order < 0:
+            return 1 / 256
+        own = self.seen[order].get(context[3 - order :])
+        if own is None:
+            return self.probability(context, byte, order - 1)
+        total = sum(own.values()) + len(own)
+        if byte in own:
+            return own[byte] / total
+        escape = len(own) / total
+        left = 1 - sum(self.probability(context, b, order - 1) for b in own) if order else 1 - len(own) / 256
+        return escape * self.probability(context, byte, order - 1) / left
+
+    def bits(self, text):
+        text = b"\n\n\n" + text
+        return -sum(np.log2(self.probability(text[i - 3 : i], text[i], 3)) for i in range(3, len(text)))
+
+
+def test_code_lengths_equal_a_plain_model(monkeypatch):
+    monkeypatch.setattr(language_id, "LEAST_SEEN", (1, 1, 1))
+    rng = random.Random(3)
+    texts = {k: [toy(k, rng, 25).encode() for _ in range(4)] for k in ("xx", "yy")}
+    # all bytes of the tests are learned, so that none is only known as any other byte
+    known = sorted(set(b"".join(sum(texts.values(), [])) + b"\n"))
+    counts = {k: np.unique(np.concatenate([language_id._grams(t) for t in ts]), return_counts=True) for k, ts in texts.items()}
+    model = language_id.fit_tables(counts)
+    new = [toy("xx", rng, 6).encode(), toy("yy", rng, 6).encode(), bytes(rng.choice(known) for _ in range(40))]
+    got = model.code_lengths(new)
+    for j, k in enumerate(model.langs):
+        plain = PlainPpm(texts[k])
+        assert np.allclose(got[:, j], [plain.bits(t) for t in new], rtol=1e-4)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><header><h1>Head&amp;line</h1></header><p>First <b>bo</b>ld&nbsp;&eacute;\n  text.<br><p>Short.<div class="ad">Buy now</div><p>Last &lt;one&gt;.</p>
@@ -135,6 +201,109 @@ def test_html():
     assert html_text.main_text("<article>" + "<div>" * 5000 + "deep</article>") == "deep"
 
 
+def plain_text(html, window=3, surge=80):
+    """The extractor again, by the parser of the standard library and sums over all windows. For well-formed pages."""
+    from html.parser import HTMLParser
+
+    beside = {"nav", "footer", "aside", "form", "script", "style", "title", "button"}
+
+    class Lines(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.lines, self.text, self.chars = [], [], "", 0
+
+        def end(self):
+            text = " ".join(self.text.split())
+            if text:
+                home = any(t in ("article", "main") for t, _ in self.open)
+                self.lines.append((text, self.chars, not any(bad for _, bad in self.open), home))
+            self.text, self.chars = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                return self.end()
+            if tag not in ("a", "b", "i", "em", "span"):
+                self.end()
+            home = any(t in ("article", "main") for t, _ in self.open)
+            names = set((dict(attrs).get("class") or "").split())
+            bad = tag in beside or tag == "header" and not home or bool(names & {"ad", "comments", "cookie-notice", "sidebar"}) and (tag not in ("article", "main") or home)
+            self.open.append((tag, bad))
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b", "i", "em", "span"):
+                self.end()
+            while self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            self.text += data
+            if not any(t == "a" for t, _ in self.open):
+                self.chars += len(data.strip())
+
+    p = Lines()
+    p.feed(html)
+    p.end()
+    named = any(fit and home for _, _, fit, home in p.lines)
+    weight = [0 if not fit else len(t) * surge * home if named else chars for t, chars, fit, home in p.lines]
+    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    surge = surge if max(sums, default=0) >= surge else 1
+    keep, inside, stretch = [], False, []
+    for i in range(len(weight) + 1):
+        if i < len(weight) and (sums[i] >= surge or inside and sums[i] > 0):
+            inside = True
+            stretch.append(i)
+        elif inside:
+            full = [k for k in stretch if weight[k]]
+            keep += [k for k in stretch if full[0] <= k <= full[-1] and p.lines[k][2] and (weight[k] or not named)]
+            inside, stretch = False, []
+    return " ".join(p.lines[k][0] for k in keep)
+
+
+def test_html_equals_brute_force():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeiou") for _ in range(rng.randint(2, 9)))
+    some = lambda k: " ".join(word() for _ in range(k))
+
+    def block(depth):
+        kind = rng.randrange(11)
+        if kind < 4:
+            return f"<p>{some(rng.randint(1, 40))} <b>{some(2)}</b> <a href=u>{some(2)}</a></p>"
+        if kind == 4:
+            return "<ul>" + "".join(f"<li><a href=u>{some(2)}</a></li>" for _ in range(rng.randint(1, 6))) + "</ul>"
+        if kind == 5:
+            return rng.choice([f"<div class=ad>{some(12)}</div>", f"<aside><p>{some(30)}</p></aside>", f"<div class='cookie-notice'>{some(9)}</div>", f"<form><p>{some(4)}</p></form>"])
+        if kind == 6:
+            return f"<section class=comments><article><p>{some(30)}</p></article></section>"
+        if kind == 7:
+            return f"<article class='{rng.choice(['ad', 'card'])}'><p>{some(15)}</p></article>" if depth < 3 else some(3)
+        if kind == 8:
+            deep = rng.choice([1, 3, 700])
+            return "<div>" * deep + some(rng.randint(1, 9)) + "</div>" * deep
+        return "<div>" + "".join(block(depth + 1) for _ in range(rng.randint(1, 5))) + "</div>" if depth < 4 else some(5)
+
+    pages = []
+    for i in range(80):
+        body = "".join(block(0) for _ in range(rng.randint(1, 9)))
+        if i % 2:
+            body = rng.choice([f"<main>{body}</main>", f"<main>{body}</main>" + block(0), f"<div>{block(0)}<article><header><h1>{some(3)}</h1></header>{body}</article>{block(0)}</div>"])
+        pages.append(f"<html><head><title>t</title></head><body><header>{some(4)}</header><nav><a href=u>{some(3)}</a></nav>{body}<footer>{some(20)}</footer></body></html>")
+    pages += [f"<body><p>{some(3)}</p></body>", "<body></body>", f"<body><nav>{some(60)}</nav></body>"]
+    for page in pages:
+        assert html_text.main_text(page) == plain_text(page)
+    assert sum(bool(plain_text(p)) for p in pages) > 60
+
+
+def test_html_names_are_read_as_a_whole():
+    body = "word " * 30 + "end"
+    for name in ("article-header-wrapper", "legal-analysis", "notice-of-motion", "shared-values"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>{body}</p></div></body>") == body
+        assert html_text.main_text(f"<article><p class='{name}'>{body}</p></article>") == body
+    for name in ("cookie-notice", "site-header", "legal", "page-sidebar", "ad-slot-top", "search-wrapper"):
+        assert html_text.main_text(f"<body><p>{body}</p><div class='{name}'><p>none of it, whatever it says at length here or there</p></div></body>") == body
+    assert html_text.main_text("<main><p>One.</p><article class=related><p>Two</p></article><article class='ad'>Three</article></main>") == "One."
+    assert html_text.main_text("<body>" + "<div>" * 600 + "<nav>Menu of a hundred things</nav><p>Short page only.</p>") == "Short page only."
+
+
 def test_html_keeps_all_stretches():
     links = "".join(f"<div><a href=x>link {i}</a></div>" for i in range(5))
     first, second = "word " * 40 + "one", "more " * 25 + "two"
@@ -147,6 +316,10 @@ def test_html_query(spark):
     got = {r.page_id: r for r in html_text.extract_pages(pages.drop("text")).collect()}
     assert got[1].n_chars == len(got[1].text) > 0 and (got[2].text, got[2].n_chars) == ("", 0)
     assert html_text.extract_pages(pages).columns == ["page_id", "url", "text", "n_chars"]
+    clash = pages.selectExpr("page_id", "html", "'h' as _html", "'r' as _row", "'t' as _text", "3 as n_chars")
+    assert html_text.extract_pages(clash).columns == ["page_id", "_html", "_row", "_text", "text", "n_chars"]
+    assert {r.page_id: (r._html, r.n_chars) for r in html_text.extract_pages(clash.unionAll(clash)).collect()} == {i: ("h", g.n_chars) for i, g in got.items()}
+    assert html_text.extract_pages(clash.limit(0)).count() == 0
 
 
 def toy(language, rng, n):
@@ -159,11 +332,15 @@ def test_languages(spark):
     rows = [(i, toy(lang, rng, 30), lang) for i, lang in zip(range(300), itertools.cycle(["xx", "yy", "zz"]))] + [(900, None, "xx"), (901, "123 !?", "xx"), (902, "", None), (None, "lo mu", "xx"), (903, "schein", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit_language_model(docs)
-    assert np.allclose((2.0 ** -model.bits.astype(float)).reshape(-1, model.n_symbols, len(model.langs)).sum(1), 1, atol=1 / 64)
+    likely = (2.0 ** -model.bits.astype(float)).reshape(-1, model.n_symbols, len(model.langs))
+    assert np.allclose(likely[:, :-1].sum(1) + likely[:, -1] * (257 - model.n_symbols), 1, atol=1e-5)
     got = {r.doc_id: r for r in language_id.predict_languages(docs, model).collect()}
     assert sum(got[i].lang_pred == lang for i, _, lang in rows[:300]) >= 297
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and got[903].lang_pred == "yy"
     assert language_id.identify(None, ["lo"]) == (["und"], [0.0]) and language_id.fit_language_model(docs.limit(0)) is None
+    clash = language_id.predict_languages(docs.selectExpr("*", "1 as score", "'x' as _pred", "2 as _row", "3 as _found"), model)
+    assert clash.columns == ["doc_id", "text", "lang", "_pred", "_row", "_found", "lang_pred", "score"] and clash.filter("_pred = 'x'").count() == len(rows)
+    assert language_id.predict_languages(docs.limit(0), model).count() == 0
     long = toy("xx", rng, 200)
     whole = model.code_lengths([long.encode() * 50])
     language_id.SEGMENT, kept = 997, language_id.SEGMENT
@@ -191,14 +368,6 @@ def test_contexts_do_not_vanish_as_languages_are_added():
     assert longest(few) and longest(few) <= longest(many)
 
 
-def test_pipeline_without_languages(spark):
-    import corpus_pipeline
-
-    rows = [(1, "clean text", None), (2, "漢字", None), (3, None, None), (4, "123 !", None), (5, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert sorted(map(tuple, corpus_pipeline.identify_language(spark, docs, "").collect())) == rows[:2]
-
-
 def test_licenses(spark):
     filler = "one two three four five six seven eight nine ten "
     grant = license_scan.TEMPLATES["MIT-grant"]
@@ -224,3 +393,10 @@ def test_urls(spark):
     ]
     assert {got[100 + i].verdict for i in range(60)} == {"block"} and {got[200 + i].verdict for i in range(60)} == {"allow"}
     assert url_filter.url_verdicts(pages.limit(0), outcomes.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, "h://a.co.uk/"), (2, "h://b.co.uk/"), (3, None)], "page_id long, url string")
+    # hosts without an outcome of their own are never blocked
+    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(few, spark.createDataFrame([(2, 1)], "page_id long, bad int")).collect()} == {1: "allow", 2: "block", 3: "allow"}
+    # b.co.uk and c.co.uk are registered domains of their own: what the one does says little of the other
+    hosts = spark.createDataFrame([(f"h{i}.{d}", int(d == "b.co.uk")) for i in range(9) for d in ("b.co.uk", "c.co.uk")] + [("x.c.co.uk", None)], "host string, bad int")
+    found = {r.host: r for r in url_filter.host_reputation(hosts).collect()}
+    assert found["x.c.co.uk"].n == 0 and found["x.c.co.uk"].mean < 0.3 < found["h1.b.co.uk"].mean
