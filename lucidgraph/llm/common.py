@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that go to Python at once where the session leaves Spark's default of 10,000: texts can be long.
-BATCH_ROWS = 2000
+#: Rows that go to Python and that are read at once, where the session leaves Spark's defaults: texts can be long.
+BATCH_ROWS, READ_ROWS = 2000, 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -64,10 +64,15 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold of long texts. A size that the session has set itself stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bounds what readers and Python workers hold of long texts. Sizes that the session has set itself stay."""
+    for name, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READ_ROWS)):
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, str(ours))
+
+
+def text_udf(f: Callable, kind: str):
+    """A pandas UDF that is evaluated once a row, whatever is filtered by its result afterwards."""
+    return F.pandas_udf(f, kind).asNondeterministic()
 
 
 def lean(f: Callable) -> Callable:

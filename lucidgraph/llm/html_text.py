@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import column, small_batches, table
+from lucidgraph.llm.common import column, small_batches, table, text_udf
 
 #: Lines in a window, and the characters in a window that make a surge where the page names no article.
 WINDOW, SURGE = 3, 80
@@ -179,7 +179,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     small_batches(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(F.struct(*[column(c) for c in others]).alias("_row") if others else F.lit(0).alias("_row"), F.pandas_udf(texts, "string")(column(html_col)).alias("_text"))
+    rows = pages.select(F.struct(*[column(c) for c in others]).alias("_row") if others else F.lit(0).alias("_row"), text_udf(texts, "string")(column(html_col)).alias("_text"))
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in others], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 

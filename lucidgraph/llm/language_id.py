@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import column, lean, small_batches, table, whole_row
+from lucidgraph.llm.common import column, lean, small_batches, table, text_udf, whole_row
 
 #: Longest context in bytes; documents learned from for each language.
 ORDER, TRAIN_DOCS = 3, 2500
@@ -245,7 +245,7 @@ def predict_languages(docs: DataFrame, model: PpmModel | None, text_col: str = "
         return pd.DataFrame({"lang": langs, "score": scores})
 
     kept = [c for c in docs.columns if c not in (pred_col, score_col) and (keep_text or c != text_col)]
-    rows = docs.select(whole_row(docs.select(*map(column, kept))).alias("_row"), F.pandas_udf(found, "lang string, score double")(column(text_col)).alias("_found"))
+    rows = docs.select(whole_row(docs.select(*map(column, kept))).alias("_row"), text_udf(found, "lang string, score double")(column(text_col)).alias("_found"))
     return rows.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_found.lang").alias(pred_col), F.col("_found.score").alias(score_col))
 
 

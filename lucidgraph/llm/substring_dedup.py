@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidgraph.llm.common import BitFilter, bits_at, collected_bits, column, counted, discard, filter_bits, hot_limit, lean, small_batches, staged, table, whole_groups, whole_row
+from lucidgraph.llm.common import BitFilter, bits_at, collected_bits, column, counted, discard, filter_bits, hot_limit, lean, small_batches, staged, table, text_udf, whole_groups, whole_row
 
 #: Words in a window and in the pieces whose smallest hash is its minimiser.
 K, M = 13, 5
@@ -268,7 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with what is left of each text. Texts without a removed word are untouched, the words of others are
     joined by one space; documents of which nothing is left are dropped."""
     marked = marked_documents(docs, id_col, text_col, k)
-    left_text = F.pandas_udf(_left_text, "string")
+    left_text = text_udf(_left_text, "string")
     left = marked.filter("_ranges is not null").select("_row", left_text("_text", "_ranges").alias("_text")).filter("_text <> ''")
     whole = marked.filter("_ranges is null").select("_row", "_text").unionByName(left)
     return whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
