@@ -7,10 +7,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions of each language, what discovery takes, and what it passes over.
+# Extensions of each language, what discovery takes, and what it passes over; the last name is the
+# folder of our own cache.
 LANGUAGE_EXTENSIONS = {"typescript": ("ts", "tsx"), "javascript": ("js", "jsx"), "python": ("py",), "rust": ("rs",)}
 SUPPORTED_EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "rs", "go", "java", "cpp", "c", "hpp", "h")
-IGNORED_NAMES = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".nuxt", ".cache", "tmp", "temp", "__pycache__", "target")
+IGNORED_NAMES = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".nyc_output", ".cache", "tmp", "temp", "fixtures", ".lucidgraph-cache")
+# Ends of the names of test files, and the folders that hold tests. What begins with "/" must be a whole
+# folder name below another folder.
+TEST_ENDS = {
+    "javascript": (".test.js", ".test.jsx", ".spec.js", ".spec.jsx", ".e2e.js", ".e2e.jsx", ".e2e-spec.js", ".integration.js", ".integration.jsx"),
+    "typescript": (".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx", ".e2e.ts", ".e2e.tsx", ".e2e-spec.ts", ".integration.ts", ".integration.tsx"),
+    "python": ("_test.py",),
+    "rust": ("_test.rs",),
+}
+TEST_FOLDERS = {"javascript": ("__tests__", "/tests", "/test"), "typescript": ("__tests__", "/tests", "/test"), "python": ("/tests", "/test"), "rust": ("/tests", "/benches")}
 
 
 def any_of(tests) -> Column:
@@ -34,20 +44,25 @@ def is_supported_file(path: Column) -> Column:
 
 
 def should_ignore_path(relative: Column, patterns: Column | None = None) -> Column:
-    """Names match anywhere in the path; patterns as of a gitignore: prefix, whole path, or from the root with '/'."""
-    named = any_of(relative.contains(n) for n in IGNORED_NAMES) | relative.endswith(".DS_Store")
+    """Names match anywhere in the path. Of the patterns one that ends in "*" matches as a prefix, any other as the whole
+    path or anywhere after a "/"."""
+    named = any_of(relative.contains(n) for n in (*IGNORED_NAMES, ".DS_Store"))
     if patterns is None:
         return named
-    bare = lambda p: F.when(p.startswith("/"), F.substr(p, F.lit(2))).otherwise(F.regexp_replace(p, "/$", ""))
-    return named | F.exists(patterns, lambda p: (relative == bare(p)) | relative.startswith(F.concat(bare(p), F.lit("/"))))
+    starts = lambda p: relative.startswith(F.substr(p, F.lit(1), F.length(p) - 1))
+    return named | F.exists(patterns, lambda p: F.when(p.endswith("*"), starts(p)).otherwise((relative == p) | relative.contains(F.concat(F.lit("/"), p))))
 
 
 def is_test_file(path: Column, language: Column) -> Column:
-    name = F.element_at(F.split(path, "/"), -1)
-    script = name.rlike(r"\.(test|spec)\.[a-z]+$") | path.contains("/__tests__/") | path.contains("/tests/") | path.contains("/test/")
-    python = name.rlike(r"^test_.*\.py$|_test\.py$") | (name == "conftest.py") | path.rlike(r"(^|/)tests?/")
-    rust = path.rlike(r"(^|/)tests/") | name.endswith("_test.rs") | (name == "tests.rs")
-    return F.when(language == "python", python).when(language == "rust", rust).when(language.isin("javascript", "typescript"), script).otherwise(F.lit(False))
+    """By the file's name or its folders; false for other languages."""
+    name, folder = F.element_at(F.split(path, "/"), -1), F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    out = F.lit(False)
+    for kind in LANGUAGE_EXTENSIONS:
+        found = any_of(name.endswith(e) for e in TEST_ENDS[kind]) | any_of(folder.endswith(f) | folder.contains(f"{f}/") for f in TEST_FOLDERS[kind])
+        if kind == "python":
+            found |= (name.startswith("test_") & name.endswith(".py")) | (name == "conftest.py")
+        out = F.when(language == kind, found).otherwise(out)
+    return out
 
 
 def paths_match(a: Column, b: Column) -> Column:

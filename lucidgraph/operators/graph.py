@@ -46,8 +46,8 @@ def callers_index(edges: DataFrame) -> DataFrame:
     return edges.filter("caller <> callee").groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
 
 
-def neighbourhood(root: DataFrame, edges: DataFrame, depth: int, *, callers: bool = False) -> DataFrame:
-    """Tree of callees, or of callers, below each root to the depth: path, depth, node, cycle."""
+def neighbourhood(root: DataFrame, edges: DataFrame, depth: int | None, *, callers: bool = False) -> DataFrame:
+    """Tree of callees, or of callers, below each root to the depth, None being no limit: path, depth, node, cycle."""
     src, dst = ("callee", "caller") if callers else ("caller", "callee")
     used = edges.filter("caller <> callee") if callers else edges
     return paths(root, used.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), depth)

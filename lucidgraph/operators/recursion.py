@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, so that lineage ends here and executors may be lost."""
-    conf = df.sparkSession.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lucidgraph"
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or f"{tempfile.gettempdir()}/lucidgraph"
     path = f"{folder}/fixpoint-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,19 +36,24 @@ def closure(start: DataFrame, edges: DataFrame, *, max_rounds: int = 10_000) ->
     return seen
 
 
-def ancestors(parents: DataFrame, *, include_self: bool = True, max_rounds: int = 10_000) -> DataFrame:
-    """parents: id, parent (at most one each, null at roots). id, ancestor, dist, by doubling; cycles stop at themselves."""
-    links = written(parents.filter("parent is not null").select("id", F.col("parent").alias("up")))
+def ancestors(parents: DataFrame, *, include_self: bool = True) -> DataFrame:
+    """parents: id, parent (at most one each, null at roots). id, ancestor, dist.
+
+    By doubling: what lies within n hops, seen from where n hops lead to, lies within 2 n hops; so the rounds are as
+    many as the depth has binary digits. On a cycle each node is an ancestor once, at its least distance.
+    """
+    jump = written(parents.filter("parent is not null").select("id", F.col("parent").alias("up")))
     out = written(parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("dist")))
-    new, dist = out, 0
-    for _ in range(max_rounds):
-        dist += 1
-        step = new.join(links.withColumnRenamed("id", "_from"), F.col("ancestor") == F.col("_from")).select("id", F.col("up").alias("ancestor"), F.lit(dist).alias("dist"))
-        new = written(step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti").select("id", "ancestor", "dist"))
+    hops = 1
+    while True:
+        at = out.select(F.col("id").alias("up"), "ancestor", "dist")
+        step = jump.join(at, "up").groupBy("id", "ancestor").agg((F.min("dist") + hops).alias("dist"))
+        new = written(step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
         if new.isEmpty():
-            break
+            return out if include_self else out.filter("dist > 0")
         out = out.unionByName(new)
-    return out if include_self else out.filter("dist > 0")
+        jump = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up")))
+        hops *= 2
 
 
 def chase(pointers: DataFrame) -> DataFrame:
@@ -64,20 +72,25 @@ def chase(pointers: DataFrame) -> DataFrame:
     return now.select("src", F.when(F.col("done"), F.col("at")).alias("target"))
 
 
-def paths(root: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """root: node. Trees to a depth: path array, depth, node, cycle.
+def paths(root: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """root: node. Trees to a depth, or, for None, as deep as they go: path array, depth, node, cycle.
 
     A node that stands on its own path is a leaf marked as cycle; that is tested before the depth, so such a leaf
     may stand one level below the limit.
     """
     level = root.select(F.array("node").alias("path"), F.lit(0).alias("depth"), "node", F.lit(False).alias("cycle"))
-    out, new = level, level
-    for depth in range(1, max_depth + 2):
+    out, new, depth = level, level, 0
+    while max_depth is None or depth <= max_depth:
+        depth += 1
         step = new.filter("not cycle").join(edges, F.col("node") == F.col("src")).select("path", F.col("dst").alias("node"))
         step = step.withColumn("cycle", F.array_contains("path", F.col("node")))
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             step = step.filter("cycle")
         new = step.select(F.concat("path", F.array("node")).alias("path"), F.lit(depth).alias("depth"), "node", "cycle").distinct()
+        if max_depth is None:
+            new = written(new)
+            if new.isEmpty():
+                break
         out = out.unionByName(new)
     return out
 

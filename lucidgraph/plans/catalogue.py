@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lucidgraph import schema
 from lucidgraph.functions import paths, text
 from lucidgraph.operators import analytics, bindings, graph, maintenance, recursion, scopes, types
+from lucidgraph.sources import import_paths
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,20 +111,22 @@ def _(spark, d):
     return _paths(spark, d).select("path", paths.detect_language(F.col("path")).alias("language"), paths.is_supported_file(F.col("path")).alias("supported"))
 
 
-@query("ignore_paths", f"SELECT page_id, {' OR '.join(f'contains(url, {chr(39)}{n}{chr(39)})' for n in paths.IGNORED_NAMES)} OR ends_with(url, '.DS_Store') AS ignored FROM pages")
+@query("ignore_paths", f"SELECT page_id, {' OR '.join(f'contains(url, {chr(39)}{n}{chr(39)})' for n in paths.IGNORED_NAMES)} OR contains(url, '.DS_Store') AS ignored FROM pages")
 def _(spark, d):
     return _t(spark, d, "pages").select("page_id", paths.should_ignore_path(F.col("url")).alias("ignored"))
 
 
+_NAMED = " OR ".join(f"contains(path, '{n}')" for n in (*paths.IGNORED_NAMES, ".DS_Store"))
+
+
 @query(
     "ignore_patterns",
-    "SELECT page_id, url = 'x' OR starts_with(path, 'en/') OR starts_with(path, 'de/8/') OR path = 'de/8' AS ignored FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS path FROM pages)",
+    f"SELECT page_id, {_NAMED} OR starts_with(path, 'en/') OR path = 'de/8' OR contains(path, '/de/8') OR path = '8.html' OR contains(path, '/8.html') AS ignored FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS path FROM pages)",
 )
 def _(spark, d):
     path = F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1)
-    patterns = F.array(F.lit("en/"), F.lit("/de/8"))
-    named = paths.should_ignore_path(F.lit("x"))
-    return _t(spark, d, "pages").select("page_id", (paths.should_ignore_path(F.regexp_replace(path, "|".join(paths.IGNORED_NAMES), ""), patterns) | named).alias("ignored"))
+    patterns = F.array(F.lit("en/*"), F.lit("de/8"), F.lit("8.html"))
+    return _t(spark, d, "pages").select("page_id", paths.should_ignore_path(path, patterns).alias("ignored"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -166,15 +169,26 @@ def _(spark, d):
     return docs.select("doc_id", text.source_slice(F.col("text"), F.lit(1), F.lit(3), F.lit(2), F.length(lines[1])).alias("slice"))
 
 
+_TEST_PATHS = (
+    ["src/tests/", "src/", "x/__tests__/", "a/benches/", "test/", "lib/test/u/", "my__tests__/v/", "contests/"],
+    ["test_a", "b_test", "c.test", "d.spec", "e.e2e", "f.e2e-spec", "g.integration", "conftest", "h", "tests"],
+    [".py", ".rs", ".ts", ".js", ".tsx", ".jsx"],
+)
+
+
 @query(
     "test_files",
-    """SELECT path, regexp_matches(path, '^test_.*\\.py$|_test\\.py$|/test_[^/]*\\.py$') OR regexp_matches(path, '(^|/)tests?/') AS is_test
-    FROM (SELECT CASE WHEN p_size > 40 THEN 'tests/' WHEN p_size > 30 THEN 'lib/test_' ELSE 'lib/' END || p_partkey || '.py' AS path FROM part)""",
+    f"""WITH p AS (SELECT p_partkey, {_TEST_PATHS[0]}[p_partkey % 8 + 1] AS dir, {_TEST_PATHS[1]}[p_size % 10 + 1] AS stem, {_TEST_PATHS[2]}[p_partkey // 8 % 6 + 1] AS ext FROM part)
+    SELECT p_partkey, dir || stem || ext AS path, CASE
+      WHEN ext = '.py' THEN starts_with(stem, 'test_') OR ends_with(stem, '_test') OR stem = 'conftest' OR regexp_matches(dir, '/tests?/')
+      WHEN ext = '.rs' THEN ends_with(stem, '_test') OR regexp_matches(dir, '/(tests|benches)/')
+      ELSE regexp_matches(stem, '\\.(test|spec|e2e|integration)$') OR ends_with(stem, '.e2e-spec') AND ext IN ('.ts', '.js') OR contains(dir, '__tests__/') OR regexp_matches(dir, '/tests?/') END AS is_test FROM p""",
 )
 def _(spark, d):
-    head = F.when(F.col("p_size") > 40, "tests/").when(F.col("p_size") > 30, "lib/test_").otherwise("lib/")
-    found = _t(spark, d, "part").select(F.concat(head, F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
-    return found.select("path", paths.is_test_file(F.col("path"), F.lit("python")).alias("is_test"))
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    dirs, stems, ends = _TEST_PATHS
+    path = F.concat(pick(dirs, F.col("p_partkey") % 8), pick(stems, F.col("p_size") % 10), pick(ends, F.floor(F.col("p_partkey") / 8) % 6))
+    return _t(spark, d, "part").select("p_partkey", path.alias("path")).withColumn("is_test", paths.is_test_file(F.col("path"), paths.detect_language(F.col("path"))))
 
 
 @query("git_ls_files", "SELECT p_name AS path, lower(hex(p_partkey)) AS sha FROM part")
@@ -236,6 +250,31 @@ def _(spark, d):
     return scopes.nearest_by_strategy(definitions, bodies, "key", [5, 50, 500])
 
 
+@query(
+    "deepest_scope",
+    """WITH held AS (SELECT c_custkey AS id, s_suppkey AS span, s_suppkey % 7 AS depth FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal <= c_acctbal AND c_acctbal <= s_acctbal + 500 + 10 * s_suppkey),
+    top AS (SELECT id, min(span) AS span, count(DISTINCT span) AS n FROM held WHERE depth = (SELECT max(depth) FROM held h WHERE h.id = held.id) GROUP BY id)
+    SELECT c_custkey AS id, span FROM customer LEFT JOIN top ON id = c_custkey AND n = 1""",
+)
+def _(spark, d):
+    points = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("at"), F.col("c_nationkey").alias("key"))
+    spans = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("span"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 500 + 10 * F.col("s_suppkey")).alias("high"), (F.col("s_suppkey") % 7).alias("depth"), F.col("s_nationkey").alias("key"))
+    return scopes.deepest_container(points, spans, "key")[0]
+
+
+@query("child_scope_by_name", "SELECT o_orderkey AS id, child FROM orders LEFT JOIN (SELECT p_size AS parent, p_brand AS name, arg_min(p_partkey, (p_retailprice, p_partkey)) AS child FROM part GROUP BY ALL) ON parent = o_orderkey % 50 AND name = 'Brand#' || (o_custkey % 5 + 1) || (o_custkey % 4 + 1)")
+def _(spark, d):
+    scopes_ = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("parent"), F.col("p_brand").alias("name"), F.col("p_retailprice").alias("ord"))
+    name = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 5 + 1).cast("string"), (F.col("o_custkey") % 4 + 1).cast("string"))
+    wanted = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).cast("long").alias("parent"), name.alias("name"))
+    return scopes.child_by_name(wanted, scopes_).select("id", "child")
+
+
+@query("root_scopes", "SELECT p_brand AS file, arg_min(p_partkey, (p_size, p_partkey)) AS root FROM part WHERE p_size > 10 GROUP BY p_brand")
+def _(spark, d):
+    return scopes.roots(_t(spark, d, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 10, F.col("p_partkey")).alias("parent"), F.col("p_size").alias("ord")))
+
+
 # Bindings and names
 
 
@@ -282,6 +321,43 @@ def _(spark, d):
     return bindings.first_existing(part.select(F.col("p_partkey").alias("id"), F.array(module, package).alias("candidates")), files)
 
 
+_IMPORT_FILES = """f AS (SELECT DISTINCT 'src/' || (p_size % 5) || '/' || (p_partkey % 9) || list_value('', '.js', '.ts', '/index.js', '/index.ts', '.tsx', '.mjs')[p_partkey % 7 + 1] AS path FROM part WHERE p_partkey % 4 = 0),
+    i AS (SELECT p_partkey AS id, p_size % 3 AS kind, 'src/' || (p_size % 5) || '/' || (p_partkey % 11) AS spot, list_value('', '.js', '.mjs', '.x', '.ts')[p_size % 5 + 1] AS ext, 'lib' || p_partkey AS bare FROM part)"""
+_IMPORT_PICK = "pick AS (SELECT id, arg_min(path, pos) AS path FROM (SELECT id, unnest(c) AS path, generate_subscripts(c, 1) AS pos FROM c) SEMI JOIN f USING (path) GROUP BY id)"
+
+
+def _imports(spark, d):
+    part = _t(spark, d, "part")
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    text_ = lambda c: c.cast("string")
+    folder = F.concat(F.lit("src/"), text_(F.col("p_size") % 5))
+    files = part.filter("p_partkey % 4 = 0").select(F.concat(folder, F.lit("/"), text_(F.col("p_partkey") % 9), pick(("", ".js", ".ts", "/index.js", "/index.ts", ".tsx", ".mjs"), F.col("p_partkey") % 7)).alias("path")).distinct()
+    name = F.concat(text_(F.col("p_partkey") % 11), pick(("", ".js", ".mjs", ".x", ".ts"), F.col("p_size") % 5))
+    kind = F.col("p_size") % 3
+    module = F.when(kind == 0, F.concat(F.lit("./"), name)).when(kind == 1, F.concat(F.lit("../../"), folder, F.lit("/./"), name)).otherwise(F.concat(F.lit("lib"), text_(F.col("p_partkey"))))
+    file = F.when(kind == 1, F.lit("a/b/main.ts")).otherwise(F.concat(folder, F.lit("/main.js")))
+    return part.select(F.col("p_partkey").alias("id"), file.alias("file"), module.alias("module")), files
+
+
+@query(
+    "import_javascript",
+    f"""WITH {_IMPORT_FILES}, c AS (SELECT id, list_transform(['', '.js', '.jsx', '.mjs', '.cjs', '/index.js', '/index.jsx', '/index.mjs', '/index.cjs'], lambda e: spot || ext || e) AS c FROM i WHERE kind < 2), {_IMPORT_PICK}
+    SELECT id, CASE WHEN kind = 2 THEN bare ELSE coalesce(path, CASE WHEN ext IN ('.js', '.jsx', '.mjs', '.cjs') THEN spot || ext ELSE spot || ext || '.js' END) END AS path, path IS NOT NULL AS found FROM i LEFT JOIN pick USING (id)""",
+)
+def _(spark, d):
+    return import_paths.javascript_imports(*_imports(spark, d))
+
+
+@query(
+    "import_typescript",
+    f"""WITH {_IMPORT_FILES}, c AS (SELECT id, list_concat(list_concat(CASE WHEN ext IN ('.js', '.mjs') THEN [spot || '.ts', spot || '.tsx'] ELSE [] END,
+      list_transform(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js'], lambda e: spot || ext || e)), CASE WHEN ext IN ('.js', '.mjs') THEN [spot || '/index.ts', spot || '/index.tsx'] ELSE [] END) AS c FROM i WHERE kind < 2), {_IMPORT_PICK}
+    SELECT id, CASE WHEN kind = 2 THEN bare ELSE coalesce(path, CASE WHEN ext IN ('.js', '.mjs') THEN spot || '.ts' WHEN ext = '.ts' THEN spot || ext ELSE spot || ext || '.ts' END) END AS path, path IS NOT NULL AS found FROM i LEFT JOIN pick USING (id)""",
+)
+def _(spark, d):
+    return import_paths.typescript_imports(*_imports(spark, d))
+
+
 @query(
     "export_chain",
     f"""WITH RECURSIVE {_EDGE}, ptr AS (SELECT caller AS src, min(callee) AS next FROM a_call_edge GROUP BY caller),
@@ -419,9 +495,9 @@ def _(spark, d):
 # Call graph
 
 
-@query("callback_edges", "SELECT s_suppkey AS symbol FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND floor(c_acctbal) = floor(s_acctbal))")
+@query("callback_edges", "SELECT s_suppkey AS symbol FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND floor(c_acctbal / 200) = floor(s_acctbal / 200))")
 def _(spark, d):
-    at = lambda t, k, n, b: _t(spark, d, t).select(F.col(k).alias("symbol"), F.col(n).alias("file"), F.floor(b).alias("line"), F.lit(1).alias("column"))
+    at = lambda t, k, n, b: _t(spark, d, t).select(F.col(k).alias("symbol"), F.col(n).alias("file"), F.floor(F.col(b) / 200).alias("line"), F.lit(1).alias("column"))
     return graph.callback_edges(at("supplier", "s_suppkey", "s_nationkey", "s_acctbal"), at("customer", "c_custkey", "c_nationkey", "c_acctbal")).select("symbol")
 
 
@@ -550,10 +626,10 @@ def _(spark, d):
 
 @query(
     "affected_files",
-    f"WITH RECURSIVE {_EDGE}, hit(path) AS (SELECT p_partkey FROM part WHERE p_retailprice > 1900 UNION SELECT caller FROM hit JOIN a_call_edge ON callee = path) SELECT path FROM hit",
+    f"WITH RECURSIVE {_EDGE}, hit(path) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT caller FROM hit JOIN a_call_edge ON callee = path) SELECT path FROM hit",
 )
 def _(spark, d):
-    changed = _t(spark, d, "part").filter("p_retailprice > 1900").select(F.col("p_partkey").alias("path"))
+    changed = _t(spark, d, "part").filter("p_size = 50").select(F.col("p_partkey").alias("path"))
     return maintenance.affected(changed, call_edges(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
 
 

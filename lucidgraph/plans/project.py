@@ -11,6 +11,7 @@ from lucidgraph.operators import graph, maintenance
 from lucidgraph.operators.recursion import closure, written
 from lucidgraph.plans.resolution import Resolution
 from lucidgraph.sources import files as source_files
+from lucidgraph.sources.storage import FactStore
 
 
 class Project:
@@ -25,6 +26,19 @@ class Project:
     def load(cls, spark: SparkSession, root: str, **limits) -> Project:
         return cls(source_files.read_sources(spark, root, **limits))
 
+    @classmethod
+    def load_cached(cls, spark: SparkSession, root: str, store: FactStore, **limits) -> Project:
+        """As load, but facts of unchanged files come from the store, which is brought up to date."""
+        sources = written(source_files.read_sources(spark, root, **limits))
+        facts, state = store.restore(sources)
+        project = cls(sources, facts)
+        if not state.filter("state <> 'hit'").isEmpty():
+            project.save(store)
+        return project
+
+    def save(self, store: FactStore, *, git_tree_hash: str | None = None) -> None:
+        store.save(self.sources, self.facts, git_tree_hash=git_tree_hash)
+
     @property
     def resolution(self) -> Resolution:
         if self._resolution is None:
@@ -60,7 +74,7 @@ class Project:
         hit = self.nodes().filter(paths.paths_match(F.col("file_path"), said["path"]) & (F.col("start_line") == said["line"]) & (F.col("name") == said["name"]))
         return hit.orderBy("file_path", "start_line", "node").limit(1)
 
-    def neighbourhood(self, ref: str, depth: int = 2) -> dict[str, DataFrame]:
+    def neighbourhood(self, ref: str, depth: int | None = 2) -> dict[str, DataFrame]:
         root, edges = self.find(ref).select("node"), written(self.edges().filter("caller is not null"))
         return {side: graph.neighbourhood(root, edges, depth, callers=side == "callers") for side in ("callers", "callees")}
 

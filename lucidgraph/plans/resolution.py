@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucidgraph.functions import paths
 from lucidgraph.operators import bindings, scopes, types
 from lucidgraph.operators.recursion import ancestors, first_by, written
+from lucidgraph.sources import import_paths
 
 _TYPE_KINDS = ("class", "interface", "enum")
-#: Property chains are followed for at most so many members after the receiver.
-MAX_CHAIN = 6
 
 
 def rewrite_constructor_calls(calls: DataFrame, classes: DataFrame) -> DataFrame:
@@ -36,11 +36,12 @@ class Resolution:
 
     def _names(self) -> None:
         """import targets, exports and bindings"""
-        candidates = self.imports.select(F.col("symbol_id").alias("id"), "candidates").dropDuplicates(["id"])
-        inner = self.imports.select(F.col("symbol_id").alias("id"), F.col("sub_candidates").alias("candidates")).dropDuplicates(["id"])
-        found = bindings.first_existing(candidates, self.files).withColumnRenamed("path", "resolved_path")
-        sub = bindings.first_existing(inner, self.files).withColumnRenamed("path", "submodule_path")
-        imports = written(self.imports.join(found.join(sub, "id"), self.imports["symbol_id"] == F.col("id"), "left").drop("id"))
+        asked = self.imports.select(F.col("symbol_id").alias("id"), F.col("file_path").alias("file"), F.col("import_path").alias("module"), paths.detect_language(F.col("file_path")).alias("language"), "original_name").dropDuplicates(["id"])
+        found = written(import_paths.import_targets(asked.drop("original_name"), self.files))
+        beside = found.join(asked.filter("language = 'python' and original_name is not null").select("id", F.col("original_name").alias("name")), "id")
+        sub = import_paths.submodules(beside.select("id", "path", "name"), self.files).withColumnRenamed("path", "submodule_path")
+        found = found.filter("found").select("id", F.col("path").alias("resolved_path")).join(sub, "id", "full")
+        imports = written(self.imports.join(found, self.imports["symbol_id"] == F.col("id"), "left").drop("id"))
         local = self.definition.filter("is_exported").select(F.col("file_path").alias("file"), F.col("name").alias("export_name"), F.col("symbol_id").alias("symbol"), "kind", F.lit(False).alias("is_reexport"), F.lit("python").alias("language"), F.col("start_line").alias("line"))
         again = imports.filter("is_reexport and import_kind = 'named' and resolved_path is not null")
         passed = again.select(F.col("file_path").alias("file"), F.col("name").alias("export_name"), F.col("symbol_id").alias("symbol"), F.lit("import").alias("kind"), F.lit(True).alias("is_reexport"), F.lit("python").alias("language"), F.col("start_line").alias("line"))
@@ -155,14 +156,14 @@ class Resolution:
         is_type = self.kinds.filter(F.col("kind").isin(*_TYPE_KINDS)).select(F.col("symbol_id").alias("symbol"), F.col("symbol_id").alias("_self"))
         of = named.join(self.type_of, "symbol", "left").join(is_type, "symbol", "left").select("ref", F.coalesce("type", "_self").alias("type"), "chain", "name")
         now, done = written(own.unionByName(of).filter("type is not null")), None
-        for _ in range(MAX_CHAIN + 1):
+        while True:  # one member of each chain a round
             ready = now.filter(F.size("chain") == 0).select("ref", "type", "name")
             done = ready if done is None else done.unionByName(ready)
             rest = now.filter(F.size("chain") > 0).withColumn("_m", F.col("chain")[0])
             if rest.isEmpty():
                 break
             step = rest.join(self.lookup.select("type", F.col("name").alias("_m"), "member"), ["type", "_m"]).join(self.type_of.select(F.col("symbol").alias("member"), F.col("type").alias("_next")), "member")
-            now = written(step.select("ref", F.col("_next").alias("type"), F.slice("chain", 2, MAX_CHAIN).alias("chain"), "name"))
+            now = written(step.select("ref", F.col("_next").alias("type"), F.slice("chain", F.lit(2), F.size("chain")).alias("chain"), "name"))
         return done
 
     def _indirect(self, refs: DataFrame, stored: DataFrame) -> None:

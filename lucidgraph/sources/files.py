@@ -43,17 +43,22 @@ def with_header(files: DataFrame) -> DataFrame:
     return files.select("path", language.alias("language"), "content", text.content_hash(F.col("content")).alias("content_hash"), text.n_lines(F.col("content")).alias("n_lines"), text.last_line_length(F.col("content")).alias("end_col"), paths.is_test_file(F.col("path"), language).alias("is_test"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def parse_gitignore(spark: SparkSession, path: str) -> list[str]:
+    """Its patterns; none where there is no file."""
+    if not _exists(spark, path):
+        return []
     lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '#')")
     return [r[0] for r in lines.collect()]  # one short file
 
 
 def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """JSON lines; no rows where there is no file."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).json(path)
+    return spark.read.schema(ddl).json(path) if _exists(spark, path) else spark.createDataFrame([], ddl)
 
 
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:

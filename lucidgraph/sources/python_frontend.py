@@ -6,7 +6,6 @@ Positions are 1-based; an end column is the last column. Columns count character
 from __future__ import annotations
 
 import ast
-import posixpath
 
 from lucidgraph.schema import ANONYMOUS, MODULE
 
@@ -15,26 +14,6 @@ _ORDER = {k: i for i, k in enumerate(("function", "class", "variable", "constant
 _BUILTIN_BASES = {"Protocol": "interface", "Enum": "enum", "IntEnum": "enum", "StrEnum": "enum", "Flag": "enum"}
 
 
-def import_candidates(path: str, module: str, level: int) -> list[str]:
-    """Where a module may be, best first: beside the file, then in each folder above it."""
-    here = posixpath.dirname(path)
-    parts = module.replace(".", "/") if module else ""
-    if level:
-        base = here
-        for _ in range(level - 1):
-            base = posixpath.dirname(base)
-        bases = [base]
-    else:
-        bases = [here]
-        while bases[-1]:
-            bases.append(posixpath.dirname(bases[-1]))
-    out = []
-    for b in bases:
-        at = posixpath.join(b, parts) if parts else b
-        out += [f"{at}.py", posixpath.join(at, "__init__.py")] if parts else [posixpath.join(at, "__init__.py")]
-    return out
-
-
 class Extractor(ast.NodeVisitor):
     def __init__(self, path: str, content: str):
         self.path, self.lines = path, content.split("\n")
@@ -224,11 +203,10 @@ class Extractor(ast.NodeVisitor):
     def _import(self, node: ast.AST, name: str, module: str, level: int, kind: str, original: str | None) -> None:
         span = self._span(node)
         at_root = len(self.inside) == 1
-        within = import_candidates(self.path, f"{module}.{original}" if module else original, level) if original else []
         self.imports.append(
             {
                 "symbol_id": self._id("import", span, name), "name": name, "file_path": self.path, "ord": self._next(), "defining_scope_id": self.inside[-1][0], "import_path": "." * level + module,
-                "import_kind": kind, "original_name": original, "is_reexport": at_root, **span, "candidates": import_candidates(self.path, module, level), "sub_candidates": within,
+                "import_kind": kind, "original_name": original, "is_reexport": at_root, **span,
             }
         )
 

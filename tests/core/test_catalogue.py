@@ -8,7 +8,7 @@ import pytest
 from lucidgraph.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-FEW = ["containment_smallest", "lexical_resolve", "export_chain", "tree_size_ranked", "polymorphic_dispatch_class", "neighborhood_callees_d2", "recent_sessions"]
+FEW = ["test_files", "ignore_patterns", "import_javascript", "import_typescript", "deepest_scope", "child_scope_by_name", "affected_files", "nearest_body_scope", "containment_smallest", "lexical_resolve", "export_chain", "tree_size_ranked", "polymorphic_dispatch_class", "neighborhood_callees_d2", "recent_sessions"]
 
 
 def test_each_query_has_sql():
