@@ -429,11 +429,13 @@ def _components(source: DataFrame, n: int, similar: tuple[int, int]) -> tuple[Da
     sketches = staged(_sketches(source, n, similar), "sketches")
     classes = sketches.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "bitmap", "keys", "take")])
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = staged(sketches.select("id", "key", "n", "digest"), "rows")
+    discard(sketches)
     found = _linked(classes, source, n, similar).withColumnRenamed("node", "cid")
     joined = staged(classes.select("digest", "cid", "copies", "first").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "joined")
     keep = staged(joined.groupBy("component").agg(F.min(F.struct("first.id", "digest", "first.key")).alias("keep"), F.count("*").alias("_classes")), "keep")
     summary = attach_groups(joined.select("digest", "copies", "component"), keep, "component", "_classes", joined.count())
-    return sketches, staged(summary.select("digest", "copies", F.col("keep.id").alias("component_id"), "keep"), "summary")
+    return rows, staged(summary.select("digest", "copies", F.col("keep.id").alias("component_id"), "keep"), "summary")
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
