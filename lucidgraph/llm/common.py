@@ -75,11 +75,13 @@ def text_udf(f: Callable, kind: str):
     return F.pandas_udf(f, kind).asNondeterministic()
 
 
-def lean(f: Callable) -> Callable:
-    """A function over batches whose worker gives free memory back to the system at the end of each task."""
+def lean(f: Callable, keeps: str = "") -> Callable:
+    """A function over batches whose worker drops what others have cached, but for the key that it keeps, and gives free
+    memory back to the system at the end of each task."""
 
     @wraps(f)
     def run(batches: Iterator) -> Iterator:
+        drop_cached(keeps)
         try:
             yield from f(batches)
         finally:
@@ -101,20 +103,26 @@ _CACHE: dict[str, object] = {}
 
 def worker_cache(key: str, make: Callable[[], object]):
     """One cached object for each Python worker: asking for another drops the one before."""
+    drop_cached(key)
     if key not in _CACHE:
-        _CACHE.clear()
         _CACHE[key] = make()
     return _CACHE[key]
 
 
+def drop_cached(keeps: str) -> None:
+    """Drops the cached object of this worker unless it has the key."""
+    if keeps not in _CACHE:
+        _CACHE.clear()
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def whole_row(df: DataFrame) -> Column:
-    """All columns as one struct, so that a column of ours can't clash with one of theirs."""
-    return F.struct(*[column(c) for c in df.columns])
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """All columns, without those named, as one struct, so that a column of ours can't clash with one of theirs."""
+    return F.struct(*[column(c) for c in df.columns if c not in without])
 
 
 def filter_bits(n: int, per_key: int = 16) -> int:

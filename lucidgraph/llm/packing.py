@@ -111,7 +111,6 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
     shared, key, end = docs.sparkSession.sparkContext.broadcast(definition), f"words-{zlib.crc32(definition.encode())}", end_id.to_bytes(4, "little")
     small_batches(docs.sparkSession)
 
-    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = worker_cache(key, lambda: WordTokenizer(shared.value)).encode
         for b in batches:
@@ -124,7 +123,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH,
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]).astype({"_id": b["_id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    out = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).mapInPandas(lean(run, key), f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -240,17 +240,27 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
     return moved.repartition(buckets, "mini").sortWithinPartitions("mini").mapInPandas(bucket, f"_id {kind}, _key long, first long, end long")
 
 
-def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """docs as _row, with _text and _ranges: the ranges of words to remove, or null."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """docs as _row, which is without the text, with _text and _ranges: the ranges of words to remove, or null. Those
+    that surely have none, and all others.
+
+    The join builds a table of the ranges of each partition; texts are neither sorted nor held, and travel once.
+    """
     small_batches(docs.sparkSession)
-    keyed = docs.select(whole_row(docs).alias("_row"), column(id_col).alias("_id"), F.xxhash64(column(id_col), column(text_col)).alias("_key"), column(text_col).alias("_text"))
+    keyed = docs.select(whole_row(docs, text_col).alias("_row"), column(id_col).alias("_id"), F.xxhash64(column(id_col), column(text_col)).alias("_key"), column(text_col).alias("_text"))
     found = repeated_ranges(keyed.select("_id", "_key", "_text"), k)
     ranges = found.groupBy("_id", "_key").agg(F.collect_list(F.struct("first", "end")).alias("_ranges")).withColumnsRenamed({"_id": "_rid", "_key": "_rkey"})
     ranges, n = counted(ranges, "ranges")
     marked = BitFilter(ranges.select(F.col("_rkey").alias("key")), n).mark(keyed, F.col("_key"))
-    joined = marked.filter("_maybe").join(ranges, (F.col("_id") == F.col("_rid")) & (F.col("_key") == F.col("_rkey")), "left")
+    joined = marked.filter("_maybe").join(ranges.hint("shuffle_hash"), (F.col("_id") == F.col("_rid")) & (F.col("_key") == F.col("_rkey")), "left")
     rest = marked.filter("not _maybe").withColumn("_ranges", F.lit(None).cast(ranges.schema["_ranges"].dataType))
-    return rest.select("_row", "_text", "_ranges").unionByName(joined.select("_row", "_text", "_ranges"))
+    return rest.select("_row", "_text", "_ranges"), joined.select("_row", "_text", "_ranges")
+
+
+def marked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    """All docs as _row, _text and _ranges."""
+    rest, joined = _marked(docs, id_col, text_col, k)
+    return rest.unionByName(joined)
 
 
 def kept_words(words: list[bytes], ranges) -> list[bytes]:
@@ -261,16 +271,15 @@ def kept_words(words: list[bytes], ranges) -> list[bytes]:
 
 
 def _left_text(text: pd.Series, ranges: pd.Series) -> pd.Series:
-    return pd.Series([b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(text, ranges, strict=True)], dtype=object)
+    return pd.Series([t if r is None else b" ".join(kept_words(_words(t), r)).decode() for t, r in zip(text, ranges, strict=True)], dtype=object)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """docs with what is left of each text. Texts without a removed word are untouched, the words of others are
     joined by one space; documents of which nothing is left are dropped."""
-    marked = marked_documents(docs, id_col, text_col, k)
-    left_text = text_udf(_left_text, "string")
-    left = marked.filter("_ranges is not null").select("_row", left_text("_text", "_ranges").alias("_text")).filter("_text <> ''")
-    whole = marked.filter("_ranges is null").select("_row", "_text").unionByName(left)
+    rest, joined = _marked(docs, id_col, text_col, k)
+    left = joined.select("_row", F.col("_ranges").isNull().alias("_whole"), text_udf(_left_text, "string")("_text", "_ranges").alias("_text"))
+    whole = rest.select("_row", "_text").unionByName(left.filter("_whole or _text <> ''").select("_row", "_text"))
     return whole.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -175,6 +175,31 @@ def test_substrings(spark, monkeypatch, limit):
             assert left.get(i, "").encode() == want[i]
 
 
+def test_texts_travel_once_and_unsorted(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    want = sorted(map(tuple, substring_dedup.substring_dedup(docs).collect()), key=repr)
+    monkeypatch.setattr(substring_dedup.BitFilter, "mark", lambda self, rows, key: rows.withColumn("_maybe", key.isNotNull()))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cleaned = substring_dedup.substring_dedup(docs)
+        plan = cleaned._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, cleaned.collect()), key=repr) == want
+        assert "text" not in substring_dedup.marked_documents(docs).schema["_row"].dataType.names
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert plan.count("SortMergeJoin") == 0 and plan.count("ShuffledHashJoin") == 1
+
+
+def test_workers_drop_what_others_cached():
+    common.worker_cache("words", lambda: 1)
+    batches = lambda b: iter([*b, dict(common._CACHE)])
+    assert list(common.lean(batches, "words")([0])) == [0, {"words": 1}]
+    assert list(common.lean(batches)([0])) == [0, {}]
+    assert common.worker_cache("words", lambda: 2) == 2 and common.worker_cache("other", lambda: 3) == 3 and list(common._CACHE) == ["other"]
+    common._CACHE.clear()
+
+
 def test_windows_of_one_word_over_and_over():
     import numpy as np
     import pandas as pd
