@@ -9,11 +9,11 @@ which are counted where they are and summed by key. Of windows that are very fre
 doc_id is known by then, so they are judged at home; the others travel one by one, each to the bucket of its own
 hash. A window that also starts in a document with a smaller doc_id marks its words; marked words are removed
 when all windows have been judged. Only documents with marked words meet their marks in a shuffle; the others, told
-by a filter, pass straight through.
+by a filter, pass straight through. Texts are cut and hashed many at a time, as one run of words.
 
 Defined cases: a null text has no words. A document with a null doc_id is kept whole and removes nothing. Rows that
 repeat a doc_id don't remove each other's words. A text of fewer than K words is kept whole. Texts may be of any
-length; one word over and over makes one long super-k-mer, whose windows are ranked without being written out. An
+length; one word over and over makes one long super-k-mer, whose windows are never all written out at once. An
 empty table gives no rows. Other columns, whatever their names, are carried along untouched.
 """
 
@@ -34,11 +34,28 @@ from lucidgraph.llm.common import BitFilter, bits_at, collected_bits, column, co
 K, M = 13, 5
 #: Words kept with their hashes in each Python worker; super-k-mers in a bucket.
 CACHE_WORDS, BUCKET = 400_000, 60_000
-#: Documents, and windows of hot minimisers, that a worker holds at once.
+#: Documents, and windows, that a worker writes out at once.
 DOCS_AT_ONCE, WINDOWS_AT_ONCE = 1000, 200_000
+#: Bytes of texts, rows of a bucket and bytes of sums that a worker treats at once.
+TEXT_AT_ONCE, ROWS_AT_ONCE, BYTES_AT_ONCE = 1 << 21, 10_000, 1 << 16
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _ODD[1]
+    x = (x ^ x >> np.uint64(29)) * _ODD[2]
+    return x ^ x >> np.uint64(32)
+
+
+_SPACE = 32
+_BLANKS = bytes(_SPACE if 9 <= x <= 13 else x for x in range(256))
+#: A number for each byte; powers of an odd number, and of its inverse, to the 64 bits that are kept.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_POWERS, _INVERSES = (np.cumprod(np.array([1] + [x] * (BYTES_AT_ONCE - 1), np.uint64)) for x in (int(_ODD[4]), pow(int(_ODD[4]), -1, 2**64)))
+_FULL = pow(int(_ODD[4]), BYTES_AT_ONCE, 2**64)
+_FULL_INVERSE = pow(_FULL, -1, 2**64)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, within a bound."""
 
@@ -74,35 +91,121 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def super_kmers(words: list[bytes], k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class WordRun:
+    """The words of many texts in one run of bytes, one space behind each word, and what hashes of consecutive words take.
+
+    A hash is a polynomial over the bytes, so that of any words is a difference of two sums. Equal words have equal
+    hashes; others may too.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data = (b" ".join([*texts, b""]) or b" ").translate(_BLANKS)
+        raw = np.frombuffer(data, np.uint8)
+        inside = raw != _SPACE
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate([[0], edges])
+        starts, ends = edges[::2], edges[1::2]
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        #: Number of the first word of each text, and of all words.
+        self.bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)]))
+        lengths = ends - starts
+        if len(raw) != lengths.sum() + len(lengths):
+            inside[1:] |= inside[:-1]
+            raw = raw[inside]
+            data = raw.tobytes()
+            ends = np.cumsum(lengths + 1) - 1
+            starts = ends - lengths
+        self.data, self.starts, self.ends = data, starts, ends
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.bounds))
+        self._sums(raw)
+
+    def _sums(self, raw: np.ndarray) -> None:
+        """Sums before and after each word, and the inverse of the power of its first byte."""
+        n = len(self.starts)
+        self.before, self.after, self.inverse = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+        sums, power, inverse = np.zeros(BYTES_AT_ONCE + 1, np.uint64), 1, 1
+        for lo in range(0, len(raw), BYTES_AT_ONCE):
+            part = raw[lo : lo + BYTES_AT_ONCE]
+            sums[0] = sums[-1]
+            np.cumsum(_BYTES[part] * _POWERS[: len(part)] * np.uint64(power), out=sums[1 : len(part) + 1])
+            sums[1 : len(part) + 1] += sums[0]
+            s, e = (slice(*np.searchsorted(at, [lo, lo + len(part)])) for at in (self.starts, self.ends))
+            self.before[s] = sums[self.starts[s] - lo]
+            self.after[e] = sums[self.ends[e] - lo]
+            self.inverse[s] = _INVERSES[self.starts[s] - lo] * np.uint64(inverse)
+            power, inverse = power * _FULL % 2**64, inverse * _FULL_INVERSE % 2**64
+
+    def hashes(self, m: int) -> np.ndarray:
+        """A well mixed hash of each m consecutive words, also of different texts."""
+        n = max(len(self.starts) - m + 1, 0)
+        return _mixed((self.after[m - 1 : m - 1 + n] - self.before[:n]) * self.inverse[:n])
+
+    def windows(self, k: int) -> np.ndarray:
+        """First words of the windows of k words that lie in one text."""
+        n = max(len(self.starts) - k + 1, 0)
+        return np.flatnonzero(self.text[:n] == self.text[k - 1 : k - 1 + n])
+
+    def spelled(self, first, width) -> list[bytes]:
+        """The words from each first one on, width of them, with spaces between them."""
+        return [self.data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first + width - 1].tolist(), strict=True)]
+
+
+def super_kmers(run: WordRun, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, first window and number of windows of each super-k-mer."""
-    if len(words) < k:
+    at = run.windows(k)
+    if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    smallest = sliding_min(piece_hashes(_HASHES.of(words), m), k - m + 1)
-    first = np.flatnonzero(np.concatenate([[True], smallest[1:] != smallest[:-1]]))
-    return smallest[first], first, np.diff(np.append(first, len(smallest)))
+    smallest = sliding_min(run.hashes(m), k - m + 1)[at]
+    text = run.text[at]
+    first = np.flatnonzero(np.concatenate([[True], (smallest[1:] != smallest[:-1]) | (text[1:] != text[:-1])]))
+    return smallest[first], at[first], np.diff(np.append(first, len(at)))
 
 
 def _words(text) -> list[bytes]:
     return text.encode().split() if isinstance(text, str) else []
 
 
+def _runs(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, WordRun]]:
+    """rows with a _text in parts of DOCS_AT_ONCE at most, each of little more than TEXT_AT_ONCE bytes, or of one text."""
+    begin, size, texts = 0, 0, []
+    for i, text in enumerate(rows["_text"]):
+        texts.append(text.encode())
+        size += len(texts[-1])
+        if size >= TEXT_AT_ONCE or len(texts) == DOCS_AT_ONCE or i == len(rows) - 1:
+            run = WordRun(texts)
+            begin, size, part, texts = i + 1, 0, rows.iloc[begin : i + 1], []
+            yield part, run
+
+
 @lean
 def _minimisers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [super_kmers(_words(t))[0] for t in b["_text"]]
-        yield pd.DataFrame({"mini": np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)})
+        for _, run in _runs(b):
+            yield pd.DataFrame({"mini": super_kmers(run)[0].view(np.int64)})
+
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are known; known: sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
-def _ranges(starts: list[int], width: int) -> list[tuple[int, int]]:
-    """Words covered by windows that start there, in order, as ranges."""
-    out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + width)
-        else:
-            out.append((s, s + width))
-    return out
+
+def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers from each first one on, size of them."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def _parts(a: np.ndarray) -> Iterator[np.ndarray]:
+    return (a[i : i + WINDOWS_AT_ONCE] for i in range(0, len(a), WINDOWS_AT_ONCE))
+
+
+def _ranges(starts: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words covered by windows that start there, in order, as ranges, each of one owner: begins and ends."""
+    new = (starts[1:] > starts[:-1] + width) | (owner[1:] != owner[:-1])
+    outer = np.ones(min(len(starts), 1), bool)
+    return starts[np.concatenate([outer, new])], starts[np.concatenate([new, outer])] + width
 
 
 def window_ranks(words: list[bytes], k: int) -> np.ndarray:
@@ -119,6 +222,21 @@ def window_ranks(words: list[bytes], k: int) -> np.ndarray:
     return rank
 
 
+def _equal_windows(run: WordRun, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows that start there in which equal ones are neighbours, and the first of each sort. What
+    hashes say is compared word by word; should they deceive, ranks decide."""
+    rank = run.hashes(k)[starts]
+    order = np.argsort(rank)
+    new = np.diff(rank[order], prepend=0) != 0
+    new[0] = True
+    again = np.flatnonzero(~new)
+    if any(run.spelled(starts[order[part]], k) != run.spelled(starts[order[part - 1]], k) for part in _parts(again)):
+        rank = window_ranks(run.data.split(), k)[starts]
+        order = np.argsort(rank)
+        new = np.diff(rank[order], prepend=-1) != 0
+    return order, np.flatnonzero(new)
+
+
 def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """rows: whole minimiser groups of _id, _key, at, packed. Ranges of words that a smaller id has too.
 
@@ -131,26 +249,33 @@ def _judge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     rows = rows[np.append(again, False) | np.append(False, again)] if len(rows) else rows  # a minimiser alone came by chance of the filter
     if not len(rows):
         return ready
-    split = [p.split(b" ") for p in rows["packed"]]
-    lengths = np.array([len(w) for w in split])
-    words = [w for part in split for w in part]
-    del split
-    # windows that start in a row and end in the next are none
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    starts = np.flatnonzero(place <= lengths[owner] - k)
-    rank = window_ranks(words, k)[starts]
-    del words
-    ids, order = rows["_id"].to_numpy(), np.argsort(rank, kind="stable")
-    owner, place, rank = owner[starts][order], place[starts][order], rank[order]
-    first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
-    least = np.minimum.reduceat(ids[owner], first)
-    marked = ids[owner] > np.repeat(least, np.diff(np.append(first, len(rank))))
+    ids = rows["_id"].to_numpy()
+    # rows that are spelled alike are judged together: by the smallest id that each of their windows has anywhere
+    code, spelled = pd.factorize(rows["packed"])
+    order = np.argsort(code, kind="stable")
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(np.diff(code[order], prepend=-1)))
+    run = WordRun(list(spelled))
+    starts = run.windows(k)
+    text = run.text[starts]
+    order, first = _equal_windows(run, starts, k)
+    least = np.minimum.reduceat(least[text[order]], first)
+    least_of = np.empty(len(starts), least.dtype)
+    least_of[order] = np.repeat(least, np.diff(np.append(first, len(order))))
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    n = np.diff(np.append(begin, len(text)))
+    whole = ids > np.maximum.reduceat(least_of, begin)[code]
+    some = np.flatnonzero(~whole & (ids > np.minimum.reduceat(least_of, begin)[code]))
+    if whole.any():
+        full = rows.loc[whole, ["_id", "_key", "at"]].rename(columns={"at": "first"})
+        full["end"] = full["first"] + n[code[whole]] + k - 1
+        ready = pd.concat([full, ready], ignore_index=True) if len(ready) else full
+    sizes = n[code[some]]
+    owner = np.repeat(some, sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    marked = ids[owner] > least_of[begin[code[owner]] + place]
     owner, place = owner[marked], place[marked]
     if not len(owner):
         return ready
-    order = np.lexsort((place, owner))
-    owner, place = owner[order], place[order]
     cut = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + k))
     begin, end = np.flatnonzero(cut), np.append(np.flatnonzero(cut)[1:], len(owner)) - 1
     at = rows["at"].to_numpy()[owner[begin]]
@@ -176,17 +301,17 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
         """Windows of hot minimisers: how many, and the smallest id, of those read together."""
         heavy, seen = shared_hot.value, {}
         for b in batches:
-            for doc, text in zip(b["_id"], b["_text"], strict=True):
-                words = _words(text)
-                minis, first, size = super_kmers(words, k)
-                for at, w in zip(*(x[np.isin(minis.view(np.int64), heavy)].tolist() for x in (first, size)), strict=True):
-                    for i in range(at, at + w):
-                        window = xxhash.xxh3_128_digest(b" ".join(words[i : i + k]))
+            for part, run in _runs(b):
+                minis, first, size = super_kmers(run, k)
+                hot = _among(minis.view(np.int64), heavy)
+                docs = part["_id"].tolist()
+                for at in _parts(_each(first[hot], size[hot])):
+                    for i, window in zip(run.text[at].tolist(), map(xxhash.xxh3_128_digest, run.spelled(at, k)), strict=True):
                         had = seen.get(window)
-                        seen[window] = (1, doc) if had is None else (had[0] + 1, min(had[1], doc))
-                if len(seen) > WINDOWS_AT_ONCE:
-                    yield window_rows(seen, b)
-                    seen.clear()
+                        seen[window] = (1, docs[i]) if had is None else (had[0] + 1, min(had[1], docs[i]))
+                    if len(seen) > WINDOWS_AT_ONCE:
+                        yield window_rows(seen, b)
+                        seen.clear()
         if seen:
             yield window_rows(seen, b)
 
@@ -204,38 +329,44 @@ def repeated_ranges(docs: DataFrame, k: int = K) -> DataFrame:
     @lean
     def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, heavy, least = shared.value, shared_hot.value, shared_judged.value
-        for whole in batches:
-            for cut in range(0, len(whole), DOCS_AT_ONCE):
-                b = whole.iloc[cut : cut + DOCS_AT_ONCE]
-                rows = []
-                for doc, key, text in zip(b["_id"], b["_key"], b["_text"], strict=True):
-                    words = _words(text)
-                    minis, first, size = super_kmers(words, k)
-                    goes = bits_at(seen, (minis & np.uint64(bits - 1)).astype(np.int64)) if len(minis) else minis.astype(bool)
-                    minis = minis.view(np.int64)
-                    single = np.isin(minis, heavy)
-                    marked = []
-                    for mini, at, w, alone in zip(minis[goes].tolist(), first[goes].tolist(), size[goes].tolist(), single[goes].tolist(), strict=True):
-                        if not alone:
-                            rows.append((doc, key, mini, at, b" ".join(words[at : at + w + k - 1]), -1))
-                            continue
-                        for i in range(at, at + w):
-                            window = b" ".join(words[i : i + k])
-                            digest = xxhash.xxh3_128_digest(window)
-                            if digest not in least:
-                                rows.append((doc, key, int.from_bytes(digest[:8], "little", signed=True), i, window, -1))
-                            elif least[digest] < doc:
-                                marked.append(i)
-                    rows += [(doc, key, key, start, None, end) for start, end in _ranges(marked, k)]
-                yield pd.DataFrame(rows, columns=["_id", "_key", "mini", "at", "packed", "end"]).astype({"_id": b["_id"].dtype, "_key": np.int64, "mini": np.int64, "at": np.int64, "end": np.int64})
+        for b in batches:
+            for part, run in _runs(b):
+                minis, first, size = super_kmers(run, k)
+                goes = bits_at(seen, (minis & np.uint64(bits - 1)).astype(np.int64))
+                minis, first, size = minis[goes].view(np.int64), first[goes], size[goes]
+                single = _among(minis, heavy)
+                alone = _each(first[single], size[single])
+                minis, first, size = minis[~single], first[~single], size[~single] + k - 1
+                yield placed(part, run, first, {"mini": minis, "packed": run.spelled(first, size), "end": -1})
+                docs = part["_id"].tolist()
+                for at in _parts(alone):
+                    windows, text = run.spelled(at, k), run.text[at]
+                    digests = [xxhash.xxh3_128_digest(w) for w in windows]
+                    judged = np.fromiter(map(least.__contains__, digests), bool, len(at))
+                    moves = np.flatnonzero(~judged)
+                    yield placed(part, run, at[moves], {"mini": [int.from_bytes(digests[i][:8], "little", signed=True) for i in moves], "packed": [windows[i] for i in moves], "end": -1})
+                    marked = np.array([i for i in np.flatnonzero(judged).tolist() if least[digests[i]] < docs[text[i]]], np.int64)
+                    first, end = _ranges(at[marked], text[marked], k)
+                    yield placed(part, run, first, {"mini": part["_key"].to_numpy()[run.text[first]], "packed": None, "end": end - run.bounds[run.text[first]]})
+
+    def placed(part: pd.DataFrame, run: WordRun, first: np.ndarray, more: dict) -> pd.DataFrame:
+        text = run.text[first]
+        out = pd.DataFrame({"_id": part["_id"].array[text], "_key": part["_key"].to_numpy()[text], "at": first - run.bounds[text]}).assign(**more)
+        return out.astype({"mini": np.int64, "end": np.int64, "packed": object})[["_id", "_key", "mini", "at", "packed", "end"]]
 
     moved = usable.mapInPandas(travel, f"_id {kind}, _key long, mini long, at long, packed binary, end long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
 
     @lean
     def bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
         for b in whole_groups(batches, "mini"):
-            yield _judge(b, k)
+            waiting.append(b)
+            if sum(map(len, waiting)) >= ROWS_AT_ONCE:
+                yield _judge(pd.concat(waiting, ignore_index=True), k)
+                waiting.clear()
+        if waiting:
+            yield _judge(pd.concat(waiting, ignore_index=True), k)
 
     return moved.repartition(buckets, "mini").sortWithinPartitions("mini").mapInPandas(bucket, f"_id {kind}, _key long, first long, end long")
 

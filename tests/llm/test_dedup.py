@@ -214,6 +214,71 @@ def test_windows_of_one_word_over_and_over():
     assert np.unique(substring_dedup.window_ranks([b"x"] * 300_000, 13)).size == 1
 
 
+def test_texts_are_hashed_together_not_one_by_one():
+    import sys
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    known = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 10))) for _ in range(5000)]
+    rows = pd.DataFrame({"_text": [" ".join(rng.choices(known, k=50)) for _ in range(1500)]})
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        found = list(substring_dedup._minimisers(iter([rows])))
+    finally:
+        sys.setprofile(None)
+    assert sum(map(len, found)) >= len(rows)
+    assert len(calls) < 20 * len(rows), len(calls) / len(rows)
+
+
+def test_run_of_words():
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [b"".join(rng.choice([b"", b" ", b"a", b"b\x1f", "é".encode(), b"w" * 70_000 if i == 9 else b"c"]) + rng.choice([b" ", b"\t\n", b"\x0b "]) for i in range(rng.randrange(40))) for _ in range(rng.randrange(5))]
+        texts = [t.strip() if rng.random() < 0.5 else t for t in texts]
+        split = [t.split() for t in texts]
+        words = [w for part in split for w in part]
+        run = substring_dedup.WordRun(texts)
+        assert run.spelled(np.arange(len(words)), 1) == words and np.diff(run.bounds).tolist() == [len(w) for w in split]
+        windows = [(i, a) for i, w in enumerate(split) for a in range(len(w) - 12)]
+        assert [(run.text[a], a - run.bounds[run.text[a]]) for a in run.windows(13)] == windows
+        spelled = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+        by_hash = dict(zip(run.hashes(3).tolist(), spelled, strict=True))
+        assert [by_hash[h] for h in run.hashes(3).tolist()] == spelled and len(by_hash) == len(set(spelled))
+        minis, first, size = substring_dedup.super_kmers(run)
+        assert substring_dedup._each(first, size).tolist() == run.windows(13).tolist() and len(minis) == len(first)
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_windows_are_told_by_their_words_not_by_hashes(monkeypatch, kind):
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(9)
+    passage = [rng.choice(WORDS) for _ in range(40)]
+    rows = []
+    for i in range(200):
+        a = rng.randrange(25)
+        words = passage[a : a + rng.randrange(13, 30)] if i % 3 else [rng.choice(WORDS[:2]) for _ in range(rng.randrange(13, 25))]
+        rows.append((kind(rng.randrange(10, 99)), i, 7, 100 * i, " ".join(words if len(words) > 12 else passage).encode(), -1))
+    rows.append((kind(50), 500, 8, 3, b"alone", -1))
+    rows.append((kind(51), 501, 9, 4, None, 17))
+    least, want = {}, {(501, 4 + j) for j in range(13)}
+    windows = [(i, key, at + a, tuple(w[a : a + 13])) for i, key, mini, at, p, _ in rows if mini == 7 for w in [p.split()] for a in range(len(w) - 12)]
+    for i, _, _, w in windows:
+        least[w] = min(least.get(w, i), i)
+    for i, key, at, w in windows:
+        want |= {(key, at + j) for j in range(13)} if least[w] < i else set()
+    frame_ = pd.DataFrame(rows, columns=["_id", "_key", "mini", "at", "packed", "end"])
+    for hashes in (substring_dedup.WordRun.hashes, lambda run, m: np.zeros(max(len(run.starts) - m + 1, 0), np.uint64)):
+        monkeypatch.setattr(substring_dedup.WordRun, "hashes", hashes)
+        got = substring_dedup._judge(frame_, 13)
+        assert {(key, p) for key, first, end in got[["_key", "first", "end"]].itertuples(index=False, name=None) for p in range(first, end)} == want
+
+
 def test_embeddings(spark):
     import numpy as np
 
